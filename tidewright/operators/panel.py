@@ -100,7 +100,7 @@ def quotes(chunks: DataFrame, labels: DataFrame, *, each: int = 5) -> DataFrame:
     400 characters are cut to 397 and three dots."""
     from pyspark.sql import Window
 
-    rows = chunks.where("is_new_language").join(labels.select("chunk_id", "labels"), "chunk_id").select("ticker", "fiscal_year", "chunk_id", "text", F.posexplode("labels").alias("p", "theme"))
+    rows = chunks.where("is_new_language").select("ticker", "fiscal_year", "chunk_id", "text").join(labels.select("chunk_id", "labels"), "chunk_id").select("ticker", "fiscal_year", "chunk_id", "text", F.posexplode("labels").alias("p", "theme"))
     by = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"), "chunk_id", "p")
     short = F.when(F.length("text") <= 400, F.col("text")).otherwise(F.concat(F.substring("text", 1, 397), F.lit("...")))
     return rows.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= each).select("ticker", "theme", "fiscal_year", short.alias("excerpt"), "rn")
