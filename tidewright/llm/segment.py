@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,10 @@ from ._common import col, map_arrow
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
-_CHUNK = re.compile("▁+[^▁]*|[^▁]+")
 #: Code points of a batch of texts whose lattices are built together.
-BATCH_CHARS = 300_000
+BATCH_CHARS = 800_000
+#: Up to so many code points from a chunk's end, sums of products fit a double; beyond, logs are summed.
+LINEAR_CHARS = 100
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,10 +60,11 @@ def randoms(keys: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
 
 def cut_off(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at the locations, given that they are below the bounds."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        # the largest of a set below a bound T: -log(exp(-T) + exp(-location) * E), E exponential
+    # the largest of a set below a bound T: -log(exp(-T) + exp(-location) * E), E exponential
+    with np.errstate(over="ignore"):
         e = np.log(-np.log(u)) - location
-        return -np.logaddexp(-bound, e)
+        x = e + bound
+        return np.where(x > 40, -e, bound - np.log1p(np.exp(np.minimum(x, 40.0))))
 
 
 class Vocabulary:
@@ -95,18 +99,18 @@ class Vocabulary:
             if len(p) > 1:
                 for n in range(1, len(p) + 1):
                     nodes.setdefault(p[:n], len(nodes))
-        self.next = np.zeros((len(nodes), len(letters) + 1), dtype=np.int32)
+        self.next = np.zeros((len(nodes), len(letters) + 1), dtype=np.uint16 if len(nodes) < 65536 else np.int32)
         self.piece = np.full(len(nodes), -1, dtype=np.int32)
-        self.weight = np.full(len(nodes), -np.inf)
+        self.weight = np.zeros(len(nodes))
         for prefix, n in nodes.items():
             if prefix:
                 self.next[nodes[prefix[:-1]], self.letter[ord(prefix[-1])]] = n
         self.single = np.full(0x110001, -1, dtype=np.int32)
-        self.single_weight = np.zeros(0x110001, dtype=np.float64)
+        self.single_weight = np.ones(0x110001)
         for b in range(128):  # one byte spells these, so the edge has that id
             self.single[b] = self.byte_ids[b]
         for i, p, s in pieces:
-            w = max(alpha * s, -1e4)
+            w = float(np.exp(max(alpha * s, -40.0)))
             if len(p) == 1:
                 self.single[ord(p)], self.single_weight[ord(p)] = i, w
             else:
@@ -127,21 +131,35 @@ _LITERAL = "\U0010ffff"
 
 
 def chunks_of(text: str) -> list[str]:
+    """Words, each with the spaces before it but one: a chunk's lattice begins with a space that isn't written here.
+    At the end of a text a chunk may be spaces alone."""
     if _SPACE in text:
         text = text.replace(_SPACE, _LITERAL)
-    return _CHUNK.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
+    if not text:
+        return []
+    words = text.split(" ")
+    if "" not in words:
+        return words
+    out, held = [], 0
+    for w in words:
+        if w:
+            out.append(_SPACE * held + w)
+            held = 0
+        else:
+            held += 1
+    return [*out, _SPACE * (held - 1)] if held else out
 
 
 class Lattices:
-    """Lattices of distinct chunks, end to end: for each node the cumulative shares of
+    """Lattices of distinct chunks, end to end: for each node the running mass of
     the edges by length. Nodes of a chunk are its code points and one more, its end."""
 
     def __init__(self, chunks: list[str], v: Vocabulary):
-        size = np.array([len(c) for c in chunks], dtype=np.int64)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1  # the space before counts
         self.first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         self.last = self.first + size
         n = int(self.last[-1]) + 1
-        points = np.frombuffer("\0".join([*chunks, ""]).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        points = np.frombuffer((_SPACE + f"\0{_SPACE}".join(chunks) + "\0").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         self.points = points
         left = np.repeat(self.last, size + 1) - np.arange(n)  # code points to the chunk's end
         letters = v.letter[points]
@@ -158,47 +176,61 @@ class Lattices:
             if len(hit):
                 hits.append((length, at[hit], state[hit]))
         width = hits[-1][0] if hits else 1
-        w = np.full((n, width), -np.inf)
+        w = np.zeros((n, width))
         self.ids = np.full((n, width), -1, dtype=np.int32)
         self.ids[:, 0] = v.single[points]
-        w[:, 0] = v.single_weight[points]  # 0 where unknown: spelt in bytes, the only way
+        w[:, 0] = v.single_weight[points]  # 1 where unknown: spelt in bytes, the only way
         for length, node, state in hits:
             self.ids[node, length - 1] = v.piece[state]
             w[node, length - 1] = v.weight[state]
-        after = np.full(n + width, -np.inf)
-        after[self.last] = 0.0
+        after = np.zeros(n + width)
+        after[self.last] = 1.0
         order = np.argsort(left.astype(np.uint16), kind="stable") if left.max(initial=0) < 65536 else np.argsort(left, kind="stable")
         edges = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        for r in range(1, len(edges)):
+        ahead = np.arange(1, width + 1)
+        for r in range(1, min(len(edges), LINEAR_CHARS + 1)):
             group = order[edges[r - 1] : edges[r]]
-            m = min(r, width)
-            x = w[group, :m] + after[group[:, None] + np.arange(1, m + 1)]
-            top = x.max(axis=1)
-            e = np.exp(x - top[:, None])
-            s = e.sum(axis=1)
-            after[group] = top + np.log(s)
-            w[group, :m] = e / s[:, None]
-            w[group, m:] = 0.0
-        w[left == 0] = 0.0
-        self.share = w
-        self.upto = np.cumsum(w, axis=1)
-
-    def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Length of an edge from each node, less one, chosen by share."""
+            x = w[group]
+            x *= after[group[:, None] + ahead]
+            np.cumsum(x, axis=1, out=x)
+            after[group] = x[:, -1]
+            w[group] = x
+        if len(edges) > LINEAR_CHARS + 1:
+            with np.errstate(divide="ignore"):
+                after = np.log(after)
+                for r in range(LINEAR_CHARS + 1, len(edges)):
+                    group = order[edges[r - 1] : edges[r]]
+                    x = np.log(w[group]) + after[group[:, None] + ahead]
+                    top = x.max(axis=1)
+                    e = np.cumsum(np.exp(x - top[:, None]), axis=1)
+                    after[group] = top + np.log(e[:, -1])
+                    w[group] = e
+        self.upto = w  # running sums of mass along a node's edges
+
+    def draw(self, nodes: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length of an edge from each node, less one, chosen in proportion to mass, and the edge's share."""
         rows = self.upto[nodes]
-        return (rows[:, :-1] < (u * rows[:, -1])[:, None]).sum(axis=1)
+        total = rows[:, -1]
+        step = (rows >= (u * total)[:, None]).argmax(axis=1)
+        at = np.arange(len(nodes))
+        mass = rows[at, step] - np.where(step > 0, rows[at, step - 1], 0.0)
+        return step, mass / total
+
+    def shares(self, node: int) -> np.ndarray:
+        """Shares of a node's edges by length."""
+        row = self.upto[node]
+        return np.diff(row, prepend=0.0) / row[-1]
 
 
 def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
     """For each text its samples, best first: (ids, log probability, log of the
     probability of inclusion among k)."""
-    table: dict[str, int] = {}
-    per_doc = [[table.setdefault(c, len(table)) for c in chunks_of(t)] for t in texts]
+    table: dict[str, int] = defaultdict(count().__next__)
+    occ = [np.fromiter(map(table.__getitem__, c), np.int64, len(c)) for c in map(chunks_of, texts)]
     results: list[list] = [[] for _ in texts]
     if not table:
         return [[(np.zeros(0, np.int32), 0.0, 0.0)] for _ in texts]
     lat = Lattices(list(table), v)
-    occ = [np.array(x, dtype=np.int64) for x in per_doc]
     begin = [np.concatenate([[0], np.cumsum(lat.last[x] - lat.first[x])]) for x in occ]  # where each chunk begins in its text
 
     def paths(jobs, stream):
@@ -215,22 +247,24 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
             if n is not None:
                 node[heads[j]] = n
         live = np.nonzero(node < end)[0]
-        got_at, got_node, got_len = [], [], []
+        got_at, got_node, got_len, got_share = [], [], [], []
         while len(live):
             now = node[live]
-            step = lat.draw(now, randoms(key[live], stream, place[live] + now - first[live]))
+            step, share = lat.draw(now, randoms(key[live], stream, place[live] + now - first[live]))
             got_at.append(live)
             got_node.append(now)
             got_len.append(step)
+            got_share.append(share)
             node[live] = now + step + 1
             live = live[node[live] < end[live]]
         at = np.concatenate(got_at) if got_at else np.zeros(0, np.int64)
         order = np.argsort(at, kind="stable")
         at = at[order]
-        nodes, lens = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (got_node, got_len))
+        nodes, lens, shares = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (got_node, got_len, got_share))
         cuts = np.searchsorted(doc[at], np.arange(len(jobs) + 1))
         where = place[at] + nodes - first[at]
-        return [(nodes[a:b], lens[a:b], number[at[a:b]], where[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        chunks = number[at]
+        return [(nodes[a:b], lens[a:b], chunks[a:b], where[a:b], shares[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     docs = [d for d in range(len(texts)) if len(occ[d])]
     for d in range(len(texts)):
@@ -243,15 +277,14 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
     def note(d, path, bound, fresh, barred, stream):
         """Adds a path and the sets that are left beside it from its step ``fresh`` on;
         barred: lengths that are taken already at that step."""
-        nodes, lens, _, where = path
-        share = lat.share[nodes, lens]
+        nodes, lens, _, where, share = path
         with np.errstate(divide="ignore"):
             log = np.log(share)
             before = np.concatenate([[0.0], np.cumsum(log)])
             rest = np.log1p(-np.minimum(share[fresh:], 1.0))
             rest[share[fresh:] > 1 - 1e-12] = -np.inf
             if barred and len(rest):
-                open_ = max(0.0, 1.0 - sum(lat.share[nodes[fresh], x] for x in {*barred, int(lens[fresh])}))
+                open_ = max(0.0, 1.0 - float(lat.shares(nodes[fresh])[[*{*barred, int(lens[fresh])}]].sum()))
                 rest[0] = np.log(open_) if open_ > 1e-12 else -np.inf
         found[d].append((bound, path, before[-1]))
         left = k + 1 - len(found[d])
@@ -272,23 +305,24 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
             if not heaps[d]:
                 continue
             g, t, taken, path = heapq.heappop(heaps[d])
-            nodes, lens, number, where = path
-            shares = lat.share[nodes[t]].copy()
+            nodes, lens, number, where, _ = path
+            shares = lat.shares(nodes[t])
+            own = shares.copy()
             shares[taken] = 0.0
             up = np.cumsum(shares)
             u = randoms(keys[d : d + 1], 3 * s + 2, where[t : t + 1])[0]
             length = int(min(np.searchsorted(up, u * up[-1], side="left"), len(up) - 1))
             c, node = int(number[t]), int(nodes[t]) + length + 1
             jobs.append((d, c, node))
-            heads.append((d, -g, t, taken, path, length))
+            heads.append((d, -g, t, taken, path, length, own[length]))
         if not jobs:
             break
-        for (d, g, t, taken, path, length), tail in zip(heads, paths(jobs, 3 * s), strict=True):
-            joined = tuple(np.concatenate([x[:t], [y], z]) for x, y, z in zip(path, (path[0][t], length, path[2][t], path[3][t]), tail, strict=True))
+        for (d, g, t, taken, path, length, share), tail in zip(heads, paths(jobs, 3 * s), strict=True):
+            joined = tuple(np.concatenate([x[:t], [y], z]) for x, y, z in zip(path, (path[0][t], length, path[2][t], path[3][t], share), tail, strict=True))
             note(d, joined, g, t, taken, 3 * s + 1)
     for d in docs:
         kappa = -heaps[d][0][0] if heaps[d] and len(found[d]) == k else -np.inf
-        for _, (nodes, lens, _, _), phi in found[d]:
+        for _, (nodes, lens, *_), phi in found[d]:
             ids = lat.ids[nodes, lens]
             if (ids < 0).any():
                 spelt = [[i] if i >= 0 else [v.byte_ids[b] for b in (_SPACE if chr(p) == _LITERAL else chr(p)).encode()] for i, p in zip(ids.tolist(), lat.points[nodes].tolist(), strict=True)]
