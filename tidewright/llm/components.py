@@ -29,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: columns a and b, any order, repeats and loops allowed, no nulls.
-    Returns node, root: the smallest node that each node with a link can reach."""
+    Returns node, root: the smallest node that each node with a link can reach, for all but the roots."""
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:

@@ -38,7 +38,7 @@ from ._common import col, map_arrow
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Code points of a batch of texts whose lattices are built together.
-BATCH_CHARS = 800_000
+BATCH_CHARS = 200_000
 #: Up to so many code points from a chunk's end, sums of products fit a double; beyond, logs are summed.
 LINEAR_CHARS = 100
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -51,15 +51,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def randoms(keys: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
-    """Uniform numbers in (0, 1) for keys, a stream and positions."""
-    h = mix(keys + np.uint64(stream * int(_GOLD) % 2**64))
-    h = mix(h + at.astype(np.uint64) * _GOLD)
+def stream_of(keys: np.ndarray, stream: int) -> np.ndarray:
+    """Keys of one stream of random numbers for each row key."""
+    return mix(keys + np.uint64(stream * int(_GOLD) % 2**64))
+
+
+def randoms(streams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) at positions of streams."""
+    h = mix(streams + at.astype(np.uint64) * _GOLD)
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def cut_off(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at the locations, given that they are below the bounds."""
+def cut_off(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables at the locations, given that they are below the bound."""
     # the largest of a set below a bound T: -log(exp(-T) + exp(-location) * E), E exponential
     with np.errstate(over="ignore"):
         e = np.log(-np.log(u)) - location
@@ -236,13 +240,14 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
     def paths(jobs, stream):
         """jobs: (doc, first chunk, node in it). Steps drawn for each job, in order:
         nodes, lengths less one, chunk numbers, as one array a job."""
-        doc = np.concatenate([np.full(len(occ[d]) - c, j) for j, (d, c, _) in enumerate(jobs)])
+        sizes = [len(occ[d]) - c for d, c, _ in jobs]
+        doc = np.repeat(np.arange(len(jobs)), sizes)
         number = np.concatenate([np.arange(c, len(occ[d])) for d, c, _ in jobs])
         chunk = np.concatenate([occ[d][c:] for d, c, _ in jobs])
         place = np.concatenate([begin[d][c:-1] for d, c, _ in jobs])
-        key = np.concatenate([np.full(len(occ[d]) - c, keys[d]) for d, c, _ in jobs])
+        key = np.repeat(stream_of(keys[[d for d, _, _ in jobs]], stream), sizes)
         node, first, end = lat.first[chunk].copy(), lat.first[chunk], lat.last[chunk]
-        heads = np.cumsum([0] + [len(occ[d]) - c for d, c, _ in jobs])
+        heads = np.cumsum([0, *sizes])
         for j, (_, _, n) in enumerate(jobs):
             if n is not None:
                 node[heads[j]] = n
@@ -250,7 +255,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
         got_at, got_node, got_len, got_share = [], [], [], []
         while len(live):
             now = node[live]
-            step, share = lat.draw(now, randoms(key[live], stream, place[live] + now - first[live]))
+            step, share = lat.draw(now, randoms(key[live], place[live] + now - first[live]))
             got_at.append(live)
             got_node.append(now)
             got_len.append(step)
@@ -270,7 +275,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
     for d in range(len(texts)):
         if not len(occ[d]):
             results[d] = [(np.zeros(0, np.int32), 0.0, 0.0)]
-    value = {d: g for d, g in zip(docs, -np.log(-np.log(randoms(keys[docs], 0, np.zeros(len(docs), np.int64)))), strict=True)}
+    value = {d: g for d, g in zip(docs, -np.log(-np.log(randoms(stream_of(keys[docs], 0), np.zeros(len(docs), np.int64)))), strict=True)}
     heaps: dict[int, list] = {d: [] for d in docs}
     found: dict[int, list] = {d: [] for d in docs}
 
@@ -289,7 +294,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
         found[d].append((bound, path, before[-1]))
         left = k + 1 - len(found[d])
         if left > 0 and len(rest):
-            g = cut_off(before[fresh:-1] + rest, np.full(len(rest), bound), randoms(np.full(len(rest), keys[d]), stream, where[fresh:]))
+            g = cut_off(before[fresh:-1] + rest, bound, randoms(stream_of(keys[d : d + 1], stream), where[fresh:]))
             g[~np.isfinite(rest)] = -np.inf
             best = np.argpartition(-g, left - 1)[:left] if len(g) > left else np.arange(len(g))
             for t in best:
@@ -310,7 +315,7 @@ def sample_batch(texts: list[str], keys: np.ndarray, v: Vocabulary, k: int):
             own = shares.copy()
             shares[taken] = 0.0
             up = np.cumsum(shares)
-            u = randoms(keys[d : d + 1], 3 * s + 2, where[t : t + 1])[0]
+            u = randoms(stream_of(keys[d : d + 1], 3 * s + 2), where[t : t + 1])[0]
             length = int(min(np.searchsorted(up, u * up[-1], side="left"), len(up) - 1))
             c, node = int(number[t]), int(nodes[t]) + length + 1
             jobs.append((d, c, node))

@@ -30,20 +30,59 @@ from ._common import col, map_arrow, materialize, raw
 from .components import components
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """A bit is set if it is set in over half of the XXH64 (seed 42) of the word
-    shingles, repeats included; no words: 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included, as rows of eight bytes,
+    highest first."""
     words = text.lower().split()  # bytes: A-Z only; splits at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros((0, 8), dtype=np.uint8)
     n = len(words) - shingle + 1
     parts = [b" ".join(words)] if n < 1 else [b" ".join(x) for x in zip(*[words[i:] for i in range(shingle)])]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(p, 42) for p in parts]), dtype=np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([digest(p, 42) for p in parts]), dtype=np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; none: 0."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 16384):
         ones += np.unpackbits(hashes[at : at + 16384], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(parts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+#: Shingles of a class, and classes of a document whose fingerprints are blocks.
+CLASS_SHINGLES, CLASS_BLOCKS = 8, 32
+
+
+def class_blocks(hashes: np.ndarray) -> list[int]:
+    """Blocks of a long fingerprint, as keys: shingles are dealt into classes by their hash, each
+    class has a 64-bit fingerprint, and the first 32 of those are the blocks. Documents that differ
+    in fewer shingles than there are classes agree in a class, and then in its block. The number of
+    classes follows the size, and a size near a power of two counts for both sides of it."""
+    n = len(hashes)
+    if not n:
+        return []
+    bits = np.unpackbits(hashes, axis=1)
+    # not the low bits, nor in the order of any: a product spreads them
+    spread = (hashes.view(">u8").reshape(-1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    out = []
+    for level in sorted({int(np.log2(max(1.0, 0.8 * n))), int(np.log2(1.25 * n))}):
+        classes = max(1, (1 << level) // CLASS_SHINGLES)
+        c = (spread % np.uint64(classes)).astype(np.int64)
+        own = np.nonzero(c < CLASS_BLOCKS)[0]
+        own = own[np.argsort(c[own], kind="stable")]
+        if not len(own):
+            continue
+        heads = np.concatenate([[0], np.nonzero(np.diff(c[own]))[0] + 1])
+        sizes = np.diff(np.concatenate([heads, [len(own)]]))
+        ones = np.add.reduceat(bits[own], heads, axis=0, dtype=np.int32)
+        prints = np.packbits(2 * ones > sizes[:, None], axis=1)
+        out += [xxhash.xxh64_intdigest(level.to_bytes(1, "big") + int(k).to_bytes(2, "big") + p.tobytes(), 7) for k, p in zip(c[own[heads]], prints, strict=True)]
+    return out
 
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str], shingle: int = 3, name: str = "fp") -> DataFrame:
@@ -116,6 +155,11 @@ def near_duplicates(
     marked = materialize(fingerprints(docs, text_col=text_col, keep=[id_col], shingle=shingle, name="tidewright fp").select(col(id_col).alias("id"), F.col("`tidewright fp`").alias("fp")))
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
     roots = components(near_pairs(nodes, max_distance=max_distance, blocks=blocks, bucket_pairs=bucket_pairs))
+    return _grouped(marked, nodes, roots, id_col)
+
+
+def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """Rows (id, fp) with the smallest id (low, by fingerprint) of their component."""
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     owner = placed.join(lows, "root").select("fp", "component_id")
@@ -123,31 +167,67 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 3, blocks: int = 6, bucket_pairs: int = 64) -> DataFrame:
-    """All columns of the documents that stay: of each group the row with the smallest
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 14, bucket_pairs: int = 16) -> DataFrame:
+    """One row for each document row, id and component_id as in ``near_duplicates``, for documents
+    that are similar though not nearly equal: fingerprints within ``max_distance`` of 64 bits link if they agree
+    in a class block. A similarity of 0.8 (common among all five-word shingles) is 10 bits apart, give or take
+    three, so 14 catch nearly all such pairs, and some of a similarity between 0.65 and 0.8. So many bits can't be
+    split into useful blocks of one 64-bit fingerprint, so the blocks are those of ``class_blocks``.
+
+    Buckets of up to ``bucket_pairs`` fingerprints are compared in full. In larger ones each is
+    compared with the smallest and the largest, which keeps them linear; as members of a large group
+    share many buckets, with other ends, a link that one bucket misses is found by another or by way of a third
+    document. That is no proof: a link within a large bucket may be lost.
+    """
+
+    def make():
+        def step(texts):
+            hashes = [shingle_hashes(t, shingle) for t in raw(texts)]
+            fps = np.array([fingerprint_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            blocks = [class_blocks(h) for h in hashes]
+            cuts = pa.array(np.cumsum([0] + [len(b) for b in blocks]), pa.int32())
+            flat = np.array([k for b in blocks for k in b], dtype=np.uint64).view(np.int64)
+            return [pa.array(fps), pa.ListArray.from_arrays(cuts, pa.array(flat))]
+
+        return step
+
+    marked = map_arrow(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("t")), [F.col("t")], ["id"], [("fp", T.LongType()), ("blocks", T.ArrayType(T.LongType()))], make)
+    marked = materialize(marked)
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
+    # blocks of equal fingerprints are repeated: each (fingerprint, block) counts once
+    keyed = materialize(marked.select("fp", F.explode("blocks").alias("k")).distinct())
+    ends = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
+    member = materialize(keyed.join(ends, "k"))
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_distance
+    small = member.where(F.col("n") <= bucket_pairs)
+    pairs = small.select("k", F.col("fp").alias("a")).join(small.select("k", F.col("fp").alias("b")), "k").where((F.col("a") > F.col("b")) & close("a", "b")).select("a", "b")
+    large = member.where(F.col("n") > bucket_pairs).select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where((F.col("a") != F.col("b")) & close("a", "b"))
+    return _grouped(marked, nodes, components(pairs.unionByName(large.select("a", "b")).distinct()), id_col).drop("fingerprint")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 14, bucket_pairs: int = 16) -> DataFrame:
+    """All columns of the documents that stay: of each group of ``similar_groups`` the row with the smallest
     id, ties (repeated rows of one id) by content, null ids last. Rows whose text has
     no words have nothing to compare and stay, all of them."""
     names = docs.columns
     has_words = F.coalesce(col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = near_duplicates(docs.where(has_words), id_col=id_col, text_col=text_col, shingle=shingle, max_distance=max_distance, blocks=blocks, bucket_pairs=bucket_pairs)
+    groups = similar_groups(docs.where(has_words), id_col=id_col, text_col=text_col, shingle=shingle, max_distance=max_distance, bucket_pairs=bucket_pairs)
     # the id decides alone unless it is null or repeated, so ids are enough to choose the rows that stay
-    chosen = groups.groupBy("component_id").agg(F.min(col(id_col)).alias("tw_id")).select("tw_id")
-    kept = docs.where(has_words & col(id_col).isNotNull()).join(chosen, col(id_col) == F.col("tw_id"), "left_semi")
-    first = one_of_each_id(kept, id_col)
-    nameless = docs.where(has_words & col(id_col).isNull())
-    grouped = groups.where(F.col("component_id").isNull()).limit(1).count() if not nameless.isEmpty() else 0
-    out = first.unionByName(docs.where(~has_words))
-    if grouped:  # groups of null ids only: one row of each text stays
-        out = out.unionByName(nameless.dropDuplicates([text_col]))
+    chosen = groups.groupBy("component_id").agg(F.min(col(id_col)).alias("tw_chosen")).select("tw_chosen")
+    kept = docs.where(has_words & col(id_col).isNotNull()).join(chosen, col(id_col) == F.col("tw_chosen"), "left_semi")
+    out = one_of_each_id(kept, id_col).unionByName(docs.where(~has_words))
+    # groups of null ids only: one row of each text stays
+    if not groups.where(F.col("component_id").isNull()).isEmpty():
+        out = out.unionByName(docs.where(has_words & col(id_col).isNull()).dropDuplicates([text_col]))
     return out.select(*[col(c) for c in names])
 
 
 def one_of_each_id(docs: DataFrame, id_col: str) -> DataFrame:
     """One row of each id; which of several is decided by content."""
-    repeated = docs.groupBy(col(id_col).alias("tw_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tw_id")
+    repeated = docs.groupBy(col(id_col).alias("tw_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tw_again")
     if repeated.isEmpty():
         return docs
-    rest = docs.join(repeated, col(id_col) == F.col("tw_id"), "left_anti")
-    again = docs.join(repeated, col(id_col) == F.col("tw_id"), "left_semi")
-    picked = again.groupBy(col(id_col).alias("tw_id")).agg(F.min(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("s"))
+    rest = docs.join(repeated, col(id_col) == F.col("tw_again"), "left_anti")
+    again = docs.join(repeated, col(id_col) == F.col("tw_again"), "left_semi")
+    picked = again.groupBy(col(id_col).alias("tw_again")).agg(F.min(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("s"))
     return rest.unionByName(picked.select(*[F.col(f"s.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
