@@ -75,16 +75,18 @@ def events(html: str):
         if name is None:
             raw = (m[1] or "").lower()
             if raw:
-                yield "tag", raw, "", True, False
+                yield "tag", raw, "", True, inside
             continue
         name = name.lower()
         kind = "break" if name in _BLOCKS else "space" if name == "br" else "tag"
-        if m[2]:
+        if m[2]:  # an end tag belongs to the element that it ends
+            yield kind, name, "", skip, inside
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-        elif name not in _VOID and not m[4].rstrip().endswith("/"):
+            continue
+        if name not in _VOID and not m[4].rstrip().endswith("/"):
             if name in _CLOSES_P:
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "u", "span", "a", "font", "small") and any(x[0] == "p" for x in stack[-8:]):
                     stack.pop()

@@ -358,7 +358,7 @@ def sample_segmentations(
     segmentation is among ``samples``; 0 if the text has no more).
 
     Segmentations of a row are distinct and decode to the exact text; a text with
-    fewer has them all. Null and empty texts have one empty segmentation. The draw depends on the
+    fewer has them all, but for edges of less than 1e-12 of their node's mass, which count as absent. Null and empty texts have one empty segmentation. The draw depends on the
     id as text, the seed and the text: repeated rows get equal results. An empty table gives no rows.
     Memory follows the longest text.
     """
