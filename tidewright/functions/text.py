@@ -63,7 +63,9 @@ def with_shingles(df: DataFrame, text_col: str, out: str, size: int = SHINGLE_WO
     words = F.filter(F.split(normalise(F.col(text_col)), " "), lambda w: w != "")
     split = df.withColumn("tw_words", words)
     w = F.col("tw_words")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+    # words side by side, so that the lambda sees nothing but its own element
+    rows = F.arrays_zip(*[F.slice(w, i + 1, 1 << 30).alias(f"w{i}") for i in range(size)])
+    runs = F.transform(F.slice(rows, 1, F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(size)]))
     return split.withColumn(out, F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))).drop("tw_words")
 
 
