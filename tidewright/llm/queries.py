@@ -16,7 +16,7 @@ from .decontaminate import decontaminate
 from .langid import identify_language, learn_profiles
 from .pages import extract_pages, learn_weights
 from .quality import classify_quality
-from .rules import apply_rules
+from .rules import STOP_WORDS, apply_rules
 from .secrets import scan_secrets, told_spans
 from .segment import sample_segmentations
 from .sharding import assign_shards
@@ -98,4 +98,18 @@ words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS tri FROM d),
+u AS (SELECT doc_id, unnest(tri) AS g, unnest(range(len(tri))) AS p FROM l), g AS (SELECT doc_id, g FROM u GROUP BY ALL HAVING count(*) > 1),
+q AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT u.doc_id, unnest([p, p + 1, p + 2]) AS q FROM u JOIN g ON u.doc_id = g.doc_id AND u.g = g.g) GROUP BY doc_id),
+c AS (SELECT l.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words,
+len(lines) AS n_lines, len(list_filter(w, lambda x: list_contains([{", ".join(f"'{x}'" for x in sorted({x for y in STOP_WORDS for x in y.split()}))}], lower(x)))) AS n_stop, len(list_filter(w, lambda x: ends_with(x, '!!'))) AS n_shouted FROM l LEFT JOIN q USING (doc_id)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, greatest(n_words, 1) AS nw, greatest(n_lines, 1) AS nl FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars / nw BETWEEN 2 AND 16 AND n_symbols / nw <= 0.1 AND n_stop / nw >= 0.03 AND n_dup_lines / nl <= 0.6 AND n_repeat_words / nw <= 0.5 AND n_shouted / nw <= 0.3 AS kept FROM v""",
+    "op6_chat": r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, length(regexp_replace(regexp_replace(text, '(\\*)(### (User|Assistant|System|Tool|Role|Text): |</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) + 8 + CASE role WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 WHEN 'system' THEN 12 WHEN 'tool' THEN 10 END AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
 }
