@@ -30,6 +30,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("repeated words", "repeat_word_ratio", None, 0.5),
     ("marked words", "shouted_ratio", None, 0.3),
 )
+_ALL = 1 << 30
 _SPACE = " \t\n\x0b\x0c\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
@@ -47,11 +48,19 @@ def measure(docs: DataFrame, *, text_col: str = "text", keep: list[str]) -> Data
     two = one.withColumn("u", F.btrim("t", F.lit(_SPACE)))
     three = two.withColumn("w", F.when(F.col("u") == "", F.array().cast("array<string>")).otherwise(F.split("u", _SPLIT)))
     four = three.withColumn("n", F.size("w")).withColumn("l", F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != ""))
-    five = four.withColumn("h", F.when(F.col("n") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))))
+    # Lambdas see nothing but their own element: a column named in one would be computed again for each
+    # element wherever Catalyst moves the expression, as into a filter on the result. So neighbours are zipped.
+    w = F.col("w")
+    triples = F.slice(F.arrays_zip(w.alias("a"), F.slice(w, 2, _ALL).alias("b"), F.slice(w, 3, _ALL).alias("c")), 1, F.greatest(F.col("n") - 2, F.lit(0)))
+    five = four.withColumn("h", F.transform(triples, lambda z: F.xxhash64(z["a"], z["b"], z["c"])))
     # only a text with a window found twice needs the sorted windows
     twice = F.size(F.array_distinct("h")) < F.size("h")
-    six = five.withColumn("s", F.when(twice, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    seven = six.withColumn("p", F.transform(F.filter("s", lambda x, j: F.coalesce(F.get("s", j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", j + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    six = five.withColumn("s", F.when(twice, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(none))
+    last = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("int").alias("i")))
+    sides = F.arrays_zip(F.col("s").alias("x"), F.concat(last, F.col("s")).alias("before"), F.concat(F.slice("s", 2, _ALL), last).alias("after"))
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+    seven = six.withColumn("p", F.transform(F.filter(sides, lambda z: same(z["x"], z["before"]) | same(z["x"], z["after"])), lambda z: z["x"]["i"]))
     covered = F.array_distinct(F.concat("p", F.transform("p", lambda x: x + 1), F.transform("p", lambda x: x + 2)))
     return seven.select(
         *[f"k{i}" for i in range(len(keep))],
