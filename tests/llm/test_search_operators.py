@@ -185,6 +185,43 @@ def test_similar_documents_are_grouped(spark):
         assert sum(got[i] == i // 10 * 10 for i in near) >= 0.95 * len(near)
 
 
+def all_similar(texts, shingle=5):
+    """Components of all pairs that have four fifths of their shingles in common."""
+    ids, parent = sorted(texts), {i: i for i in texts}
+    sets = {i: set(zip(*[texts[i].lower().split()[k:] for k in range(shingle)], strict=False)) or {texts[i].lower()} for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def grouped(spark, texts, **how):
+    return {r["doc_id"]: r["component_id"] for r in si.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **how).collect()}
+
+
+def test_every_pair_of_four_fifths_links(spark):
+    rng = random.Random(21)
+    texts = {}
+    for g, n in enumerate([6, 12, 16, 16, 20, 30, 49, 49, 54, 54, 104, 104, 204, 204, 404, 404, 1504, 1504] * 4):
+        w = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts[3 * g], texts[3 * g + 1] = " ".join(w), " ".join(w + ["more"])
+        v, cut = list(w), max(1, (n - 4) // 45)  # each word changed costs five shingles at most
+        for p in rng.sample(range(n), cut):
+            v[p] = f"x{rng.randrange(10**6)}"
+        texts[3 * g + 2] = " ".join(v)
+    want = all_similar(texts)
+    assert sum(want[i] != i for i in texts) > 100
+    assert grouped(spark, texts) == want
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(9, base), (3, base.upper()), (7, base + "  "), (4, "quite another text " * 3), (None, base)]

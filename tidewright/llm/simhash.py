@@ -17,6 +17,7 @@ fingerprints, which are within 2 bits of each other: a star of verified links is
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -167,51 +168,120 @@ def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 14, bucket_pairs: int = 16) -> DataFrame:
-    """One row for each document row, id and component_id as in ``near_duplicates``, for documents
-    that are similar though not nearly equal: fingerprints within ``max_distance`` of 64 bits link if they agree
-    in a class block. A similarity of 0.8 (common among all five-word shingles) is 10 bits apart, give or take
-    three, so 14 catch nearly all such pairs, and some of a similarity between 0.65 and 0.8. So many bits can't be
-    split into useful blocks of one 64-bit fingerprint, so the blocks are those of ``class_blocks``.
-
-    Buckets of up to ``bucket_pairs`` fingerprints are compared in full. In larger ones each is
-    compared with the smallest and the largest, which keeps them linear; as members of a large group
-    share many buckets, with other ends, a link that one bucket misses is found by another or by way of a third
-    document. That is no proof: a link within a large bucket may be lost.
-    """
+#: Texts that the order of shingles is learnt from (an expectation), and shingles in that order, most frequent last.
+ORDER_TEXTS, ORDER_SHINGLES = 8192, 1 << 16
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles as sorted 64-bit hashes."""
+    return np.unique(shingle_hashes(text, shingle).view(">u8").reshape(-1).astype(np.uint64))
+
+
+def _set_key(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(found.tobytes(), 11))
+
+
+def _long_lists(rows: list[np.ndarray]) -> pa.Array:
+    cuts = pa.array(np.cumsum([0] + [len(x) for x in rows]), pa.int32())
+    return pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *rows]).view(np.int64)))
+
+
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in three or more texts of a sample, sorted, and their counts. They only order the
+    shingles: whatever the sample, the same pairs are found."""
+    share = -(-texts.count() // ORDER_TEXTS)
+    part = texts.where(F.pmod(F.xxhash64("t"), F.lit(max(1, share))) == 0).distinct()
 
     def make():
-        def step(texts):
-            hashes = [shingle_hashes(t, shingle) for t in raw(texts)]
-            fps = np.array([fingerprint_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            blocks = [class_blocks(h) for h in hashes]
-            cuts = pa.array(np.cumsum([0] + [len(b) for b in blocks]), pa.int32())
-            flat = np.array([k for b in blocks for k in b], dtype=np.uint64).view(np.int64)
-            return [pa.array(fps), pa.ListArray.from_arrays(cuts, pa.array(flat))]
+        return lambda ts: [_long_lists([shingle_set(t, shingle) for t in raw(ts)])]
+
+    seen = map_arrow(part, [F.col("t")], [], [("s", T.ArrayType(T.LongType()))], make).select(F.explode("s").alias("k"))
+    top = seen.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(ORDER_SHINGLES).collect()
+    keys = np.array([r["k"] for r in top], dtype=np.int64).view(np.uint64)
+    at = np.argsort(keys)
+    return keys[at], np.array([r["n"] for r in top], dtype=np.int64)[at]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have the least similarity, counted exactly. Only the sets of
+    nodes in a pair are made, again from their texts."""
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = nodes.join(asked, "fp", "left_semi").select("h")
+
+    def make():
+        def step(ts):
+            found = [shingle_set(t, shingle) for t in raw(ts)]
+            return [pa.array([_set_key(x) for x in found], pa.int64()), _long_lists(found)]
 
         return step
 
-    marked = map_arrow(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("t")), [F.col("t")], ["id"], [("fp", T.LongType()), ("blocks", T.ArrayType(T.LongType()))], make)
-    marked = materialize(marked)
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    # blocks of equal fingerprints are repeated: each (fingerprint, block) counts once
-    keyed = materialize(marked.select("fp", F.explode("blocks").alias("k")).distinct())
-    ends = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1")
-    member = materialize(keyed.join(ends, "k"))
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_distance
-    small = member.where(F.col("n") <= bucket_pairs)
-    pairs = small.select("k", F.col("fp").alias("a")).join(small.select("k", F.col("fp").alias("b")), "k").where((F.col("a") > F.col("b")) & close("a", "b")).select("a", "b")
-    large = member.where(F.col("n") > bucket_pairs).select(F.col("fp").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where((F.col("a") != F.col("b")) & close("a", "b"))
-    return _grouped(marked, nodes, components(pairs.unionByName(large.select("a", "b")).distinct()), id_col).drop("fingerprint")
+    there = texts.withColumn("h", F.xxhash64("t")).join(wanted, "h", "left_semi")
+    sets = materialize(map_arrow(there, [F.col("t")], [], [("fp", T.LongType()), ("s", T.ArrayType(T.LongType()))], make).groupBy("fp").agg(F.first("s").alias("s")))
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    up, down = least.numerator, least.denominator
+    return materialize(both.where((up + down) * F.size(F.array_intersect("sa", "sb")).cast("long") >= up * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, fp), nodes (fp, low: smallest id) and the root of each node that has a link."""
+    least = Fraction(str(similarity))
+    up, down = least.numerator, least.denominator
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
+    texts = rows.select("t")
+    keys, counts = _frequent(texts, shingle)
+
+    def make():
+        def step(ts):
+            found = [shingle_set(t, shingle) for t in raw(ts)]
+            heads = []
+            for x in found:
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                    x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
+                heads.append(x[: len(x) + 1 + -len(x) * up // down])  # all but ceil(similarity * n) - 1
+            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads)]
+
+        return step
+
+    marked = materialize(map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("p", T.ArrayType(T.LongType()))], make))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min("h").alias("h"), F.min("n").alias("n"), F.first("p").alias("p")))
+    posted = nodes.select("fp", "n", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"))
+    sizes = posted.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1")
+    member = materialize(posted.join(sizes, "k"))
+
+    def paired(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of a list that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
+        one, two = (z.select("k", *[F.col(c).alias(f"{c}_{side}") for c in z.columns if c != "k"]) for z, side in ((x, "a"), (y, "b")))
+        return one.join(two, "k").where((F.col("fp_a") != F.col("fp_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
+
+    ordered = lambda z: z.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
+    base = ["k", "fp", "n", "rest"]
+    small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
+    star = paired(large.select(*base), large.where("fp = pivot").select(*base))
+    links = _verified(materialize(ordered(paired(small, small).where("fp_a > fp_b").unionByName(star))), nodes, texts, shingle, least)
+    return marked, nodes, components(links)
+
+
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
+    """One row for each document row, id and component_id as in ``near_duplicates``, for documents
+    that are similar though not nearly equal: two link if their sets of word shingles have at least the
+    similarity (common among all), counted exactly. All such pairs are candidates: if each set is sorted in one
+    order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
+
+    Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
+    full; in larger ones each is compared with one pivot only, so a link within a large list may be lost.
+    """
+    marked, nodes, roots = _similar(docs, id_col, text_col, shingle, similarity, bucket_pairs)
+    return _grouped(marked.select("id", "fp"), nodes, roots, id_col).drop("fingerprint")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 14, bucket_pairs: int = 16) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
     """All columns of the documents that stay: of each group of ``similar_groups`` the row with the smallest
     id, ties (repeated rows of one id) by content, null ids last. Rows whose text has
     no words have nothing to compare and stay, all of them."""
     names = docs.columns
     has_words = F.coalesce(col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = similar_groups(docs.where(has_words), id_col=id_col, text_col=text_col, shingle=shingle, max_distance=max_distance, bucket_pairs=bucket_pairs)
+    groups = similar_groups(docs.where(has_words), id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, bucket_pairs=bucket_pairs)
     # the id decides alone unless it is null or repeated, so ids are enough to choose the rows that stay
     chosen = groups.groupBy("component_id").agg(F.min(col(id_col)).alias("tw_chosen")).select("tw_chosen")
     kept = docs.where(has_words & col(id_col).isNotNull()).join(chosen, col(id_col) == F.col("tw_chosen"), "left_semi")
