@@ -222,6 +222,23 @@ def test_every_pair_of_four_fifths_links(spark):
     assert grouped(spark, texts) == want
 
 
+def test_large_lists_lose_no_link(spark):
+    rng = random.Random(33)
+    base, texts = [f"w{i}" for i in range(104)], {}
+    for i in range(120):  # near copies, many of them not similar to each other, and so not to a pivot
+        v = list(base)
+        for p in rng.sample(range(104), rng.choice([1, 2, 2, 3, 4, 6])):
+            v[p] = f"x{rng.randrange(10**6)}"
+        texts[i] = " ".join(v)
+    for i in range(30):  # pairs with a passage in common, similar to each other alone
+        v = [f"y{rng.randrange(10**6)}" for _ in range(40)] + base[:60]
+        texts[1000 + 2 * i], texts[1001 + 2 * i] = " ".join(v), " ".join(v[1:])
+    want = all_similar(texts)
+    assert len(set(want.values())) > 35
+    for bucket in (16, 2):
+        assert grouped(spark, texts, bucket_pairs=bucket) == want
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(9, base), (3, base.upper()), (7, base + "  "), (4, "quite another text " * 3), (None, base)]

@@ -259,7 +259,16 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similari
     small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
     star = paired(large.select(*base), large.where("fp = pivot").select(*base))
     links = _verified(materialize(ordered(paired(small, small).where("fp_a > fp_b").unionByName(star))), nodes, texts, shingle, least)
-    return marked, nodes, components(links)
+    roots = components(links)
+    if not large.isEmpty():
+        # what the pivots left apart: every pair of a list that lies in two components has a member outside the list's largest one
+        placed = large.join(roots, F.col("fp") == F.col("node"), "left").select(*base, F.coalesce("root", "fp").alias("root"))
+        shares = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"))
+        most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        split = materialize(placed.join(most.select("k", "most"), "k"))
+        apart = paired(split.where("root <> most").select(*base, "root"), split.select(*base, "root")).where("root_a <> root_b")
+        roots = components(links.unionByName(_verified(materialize(ordered(apart)), nodes, texts, shingle, least)))
+    return marked, nodes, roots
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
@@ -269,7 +278,9 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
 
     Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
-    full; in larger ones each is compared with one pivot only, so a link within a large list may be lost.
+    full. In larger ones each is first compared with one pivot; then all pairs of the list that are still in two
+    components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
+    its pivots, which keeps its lists nearly linear; a large list of documents that are not similar takes pairs by the square.
     """
     marked, nodes, roots = _similar(docs, id_col, text_col, shingle, similarity, bucket_pairs)
     return _grouped(marked.select("id", "fp"), nodes, roots, id_col).drop("fingerprint")
