@@ -239,6 +239,16 @@ def test_large_lists_lose_no_link(spark):
         assert grouped(spark, texts, bucket_pairs=bucket) == want
 
 
+def test_documents_of_one_template_stay(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(330)]
+    texts = {i: " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(60)]) for i in range(40)}  # a similarity of 0.73
+    texts[100] = texts[0] + " more"
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(set(brute_groups(texts).values())) < 20  # 14 of 64 bits would take them for copies
+    assert sorted(r["doc_id"] for r in si.drop_near_duplicates(d).collect()) == list(range(40))
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(9, base), (3, base.upper()), (7, base + "  "), (4, "quite another text " * 3), (None, base)]
