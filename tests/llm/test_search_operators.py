@@ -256,6 +256,13 @@ def test_stage_keeps_one_of_each_group(spark):
     assert sorted(kept) == [3, 4]
 
 
+def test_stage_chooses_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two + " more"), (None, one + " more"), (None, three), (None, three + " more"), (None, three)]
+    kept = si.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in kept) == [(0, "c"), (1, "a"), (1, "b")]
+
+
 def brute_counts(text):
     t = text or ""
     w = WORD.findall(t)

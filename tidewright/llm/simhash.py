@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,11 +222,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return materialize(both.where((up + down) * F.size(F.array_intersect("sa", "sb")).cast("long") >= up * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"))
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (id, fp), nodes (fp, low: smallest id) and the root of each node that has a link."""
+def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id: the key, fp), nodes (fp, low: smallest key) and the root of each node that has a link."""
     least = Fraction(str(similarity))
     up, down = least.numerator, least.denominator
-    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(key.alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = rows.select("t")
     keys, counts = _frequent(texts, shingle)
 
@@ -282,33 +282,31 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
     its pivots, which keeps its lists nearly linear; a large list of documents that are not similar takes pairs by the square.
     """
-    marked, nodes, roots = _similar(docs, id_col, text_col, shingle, similarity, bucket_pairs)
+    marked, nodes, roots = _similar(docs, col(id_col), text_col, shingle, similarity, bucket_pairs)
     return _grouped(marked.select("id", "fp"), nodes, roots, id_col).drop("fingerprint")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
     """All columns of the documents that stay: of each group of ``similar_groups`` the row with the smallest
-    id, ties (repeated rows of one id) by content, null ids last. Rows whose text has
+    id, ties (repeated or null ids) by content, null ids last. Rows whose text has
     no words have nothing to compare and stay, all of them."""
     names = docs.columns
     has_words = F.coalesce(col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = similar_groups(docs.where(has_words), id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, bucket_pairs=bucket_pairs)
-    # the id decides alone unless it is null or repeated, so ids are enough to choose the rows that stay
-    chosen = groups.groupBy("component_id").agg(F.min(col(id_col)).alias("tw_chosen")).select("tw_chosen")
-    kept = docs.where(has_words & col(id_col).isNotNull()).join(chosen, col(id_col) == F.col("tw_chosen"), "left_semi")
-    out = one_of_each_id(kept, id_col).unionByName(docs.where(~has_words))
-    # groups of null ids only: one row of each text stays
-    if not groups.where(F.col("component_id").isNull()).isEmpty():
-        out = out.unionByName(docs.where(has_words & col(id_col).isNull()).dropDuplicates([text_col]))
-    return out.select(*[col(c) for c in names])
-
-
-def one_of_each_id(docs: DataFrame, id_col: str) -> DataFrame:
-    """One row of each id; which of several is decided by content."""
-    repeated = docs.groupBy(col(id_col).alias("tw_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tw_again")
-    if repeated.isEmpty():
-        return docs
-    rest = docs.join(repeated, col(id_col) == F.col("tw_again"), "left_anti")
-    again = docs.join(repeated, col(id_col) == F.col("tw_again"), "left_semi")
-    picked = again.groupBy(col(id_col).alias("tw_again")).agg(F.min(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("s"))
-    return rest.unionByName(picked.select(*[F.col(f"s.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    # a row's key: the id, and a hash of all its columns and of which of them are null
+    content = F.xxhash64(*[x for c in names for x in (col(c), col(c).isNull())])
+    key = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), content.alias("row"))
+    marked, nodes, roots = _similar(docs.where(has_words), key, text_col, shingle, similarity, bucket_pairs)
+    chosen = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    chosen = materialize(chosen.select(F.col("low.id").alias("tidewright id"), F.col("low.row").alias("tidewright row")))
+    match = col(id_col).eqNullSafe(col("tidewright id")) & (content == col("tidewright row"))
+    kept = docs.where(has_words)
+    # equal rows: one of them stays
+    again = marked.select(F.col("id.id").alias("tidewright id"), F.col("id.row").alias("tidewright row")).groupBy("tidewright id", "tidewright row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tidewright id", "tidewright row")
+    if again.isEmpty():
+        out = kept.join(chosen, match, "left_semi")
+    else:
+        again = materialize(again)
+        twice = lambda how: chosen.join(again.select(col("tidewright id").alias("a_id"), col("tidewright row").alias("a_row")), col("tidewright id").eqNullSafe(F.col("a_id")) & (col("tidewright row") == F.col("a_row")), how)
+        equal = kept.join(twice("left_semi"), match, "left_semi").groupBy(col(id_col).alias("tidewright id"), content.alias("tidewright row")).agg(F.min(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(names)])).alias("s"))
+        out = kept.join(twice("left_anti"), match, "left_semi").unionByName(equal.select(*[F.col(f"s.c{i}").alias(c) for i, c in enumerate(names)]))
+    return out.unionByName(docs.where(~has_words)).select(*[col(c) for c in names])
