@@ -61,3 +61,13 @@ def test_import_without_session():
 
     root = Path(__file__).resolve().parent.parent
     assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=root).returncode == 0
+
+
+def test_cagr_join_reads_every_nation(spark, tmp_path):
+    from tidewright.plans import queries as pq
+
+    n = 1200
+    spark.range(n).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name").coalesce(1).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(n).selectExpr("id AS c_custkey", "id AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2 * n).selectExpr("id % 1200 AS o_custkey", "date'1996-05-01' AS o_orderdate", "100.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert pq.cagr_join(spark, str(tmp_path)).count() == n

@@ -159,7 +159,7 @@ def first_available(spark, sf_dir):
 
 
 def cagr_join(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(_table(spark, sf_dir, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = o.groupBy(F.col("n_name").alias("ticker"), F.year("o_orderdate").alias("fiscal_year")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"), F.count(F.lit(1)).alias("k"))
     first = rows.groupBy("ticker").agg(F.min(F.when(F.col("k") % 2 == 0, F.col("fiscal_year"))).alias("year")).select("ticker", F.lit("c").alias("cohort"), F.lit("t").alias("theme"), "year", F.lit(False).alias("censored"), F.lit(None).cast("double").alias("lag_vs_peers"))
     return pn.join_financials(first, rows.select("ticker", "fiscal_year", "value"), "t", start_year=1996, end_year=2000).select("ticker", "first_mention_year", "revenue_cagr")
