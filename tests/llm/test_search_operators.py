@@ -383,6 +383,21 @@ def test_interval_join_is_brute_force():
         assert se.linked(sorted(strong), weak, 10) == brute_linked(strong, weak, 10)
 
 
+def test_a_weak_part_of_a_long_finding_is_not_told_again():
+    key, hexes = "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLEKEY1", ["0123456789abcdef0123456789abcdef"] * 3
+    for n in range(4):
+        t = f"password={'.'.join([*hexes[:n], key])} at https://api.example.org/v1"
+        assert [k for _, _, k in se.find_secrets(t)] == ["assign"] + ["hex"] * n + ["endpoint"]
+
+
+def test_linking_with_nested_findings_is_brute_force():
+    rng = random.Random(10)
+    for _ in range(500):
+        spans = [(a, a + rng.choice([3, 8, 60]), rng.choice(se.KINDS)) for a in (rng.randint(0, 120) for _ in range(rng.randint(1, 12)))]
+        strong, weak = sorted(s for s in spans if s[2] not in se.WEAK), [s for s in spans if s[2] in se.WEAK]
+        assert se.linked(strong, weak, 10) == brute_linked(strong, weak, 10)
+
+
 def test_secret_query_and_redaction(spark, docs, edge, none):
     rows = {r["doc_id"]: r for r in q.op9_secrets(spark, DATA).collect()}
     for r in docs.collect():

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -81,14 +82,15 @@ def linked(strong: list[Span], weak: list[Span], scope: int) -> list[Span]:
     for role, spans in by_role.items():
         starts[role], ends[role] = sorted(a for a, _ in spans), sorted(b for _, b in spans)
     own = {role: sorted((a, b) for a, b, kind in strong if _ROLE[kind] == role) for role in by_role}
+    reach = {role: list(accumulate((b for _, b in spans), max)) for role, spans in own.items()}
 
     def near(a: int, b: int, role: str) -> bool:
         # intervals that meet [a - scope, b + scope]: those that start by its end, less those that end before its start
         return role in starts and bisect_right(starts[role], b + scope) > bisect_left(ends[role], a - scope)
 
     def told(a: int, b: int, role: str) -> bool:
-        at = bisect_left(own[role], (b, 0))
-        return any(y > a for _, y in own[role][max(0, at - 2) : at])
+        at = bisect_left(own[role], (b, 0))  # those that start before b; one of them overlaps if the farthest end is past a
+        return at > 0 and reach[role][at - 1] > a
 
     return [s for s in weak if not told(s[0], s[1], _ROLE[s[2]]) and any(near(s[0], s[1], r) for r in _NEEDS[s[2]])]
 
