@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ._common import SLICE_ROWS, col, map_arrow, uniform
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # numerals such as ½ besides, which gram_codes takes out
 _EDGE = ord("_")
 UNKNOWN = "und"
 
@@ -33,6 +33,8 @@ def gram_codes(text: str | None) -> np.ndarray:
     """Every n-gram (1 to 3 letters, repeats included) of the words as one number:
     21 bits for each code point, so shorter n-grams have smaller numbers."""
     words = _LETTERS.findall(text.lower()) if text else []
+    if not all(map(str.isalpha, words)):
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     if not words:
         return np.zeros(0, dtype=np.int64)
     c = np.frombuffer(f"_{'_'.join(words)}_".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
@@ -53,13 +55,17 @@ def ranked(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def learn_profiles(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", profile_size: int = 400, max_docs: int = 2000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", profile_size: int = 400, max_docs: int = 2000, max_languages: int = 1000
 ) -> dict[str, list[int]]:
     """Profile of each non-null language; texts without letters teach nothing. The
-    driver holds one count a language and ``profile_size`` n-grams of each."""
-    sizes = {r["l"]: r["n"] for r in docs.where(col(lang_col).isNotNull()).groupBy(col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    driver holds one count a language and ``profile_size`` n-grams of each; a column with over
+    ``max_languages`` values names no languages and is an error."""
+    known = docs.where(col(lang_col).isNotNull()).groupBy(col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["l"]: r["n"] for r in known.limit(max_languages + 1).collect()}
     if not sizes:
         return {}
+    if len(sizes) > max_languages:
+        raise ValueError(f"{lang_col} has over {max_languages} values")
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, max_docs / n))) for k, n in sorted(sizes.items())))
     chosen = docs.where(col(lang_col).isNotNull()).where(uniform(col(id_col)) < share[col(lang_col)]).select(col(lang_col).alias("l"), col(text_col).cast("string").alias("t"))
 
