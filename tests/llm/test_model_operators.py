@@ -32,6 +32,50 @@ def test_language_held_out_accuracy(spark, docs, edge, none):
     assert li.learn_profiles(docs.limit(0)) == {} and li.learn_profiles(docs.withColumn("lang", F.lit(None).cast("string"))) == {}
 
 
+def test_numerals_are_no_letters(spark, docs):
+    p = li.learn_profiles(docs)
+    rows = [(1, "½ ² ³ ①"), (2, "Ⅷ Ⅻ 一二"), (3, "1234 _ -"), (4, "ab½cd"), (5, "ªº")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.identify_language(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and all(got[i][0] in p for i in (2, 4, 5))
+    assert li.gram_codes("ab½cd").tolist() == li.gram_codes("ab cd").tolist() and not len(li.gram_codes("Ⅷ"))
+    with pytest.raises(ValueError):
+        li.learn_profiles(docs.withColumn("lang", F.col("doc_id").cast("string")), max_languages=20)
+
+
+def brute_grams(text):
+    """n-grams of one to three letters of words padded with _, with counts."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    out = Counter()
+    for w in words:
+        out.update(w)
+        for n in (2, 3):
+            out.update(f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n))
+    return out
+
+
+def brute_rank(counts, size=400):
+    # ties: shorter first, then by code points
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))[:size]]
+
+
+def test_language_query_is_brute_force(spark, docs):
+    import zlib
+
+    rows = docs.collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows}
+    by = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None:
+            by.setdefault(r["lang"], Counter()).update(brute_grams(r["text"]))
+    profiles = {k: {g: i for i, g in enumerate(brute_rank(c))} for k, c in by.items()}
+    want = {}
+    for r in rows:
+        mine = brute_rank(brute_grams(r["text"]))
+        far = min((sum(abs(i - p[g]) if g in p else 400 for i, g in enumerate(mine)), k) for k, p in profiles.items())
+        want[r["doc_id"]] = (held[r["doc_id"]], far[1], 1 - far[0] / (400 * len(mine))) if mine else (held[r["doc_id"]], "und", 0.0)
+    assert {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in q.op3_language(spark, DATA).collect()} == want
+
+
 def test_out_of_place_is_brute_force():
     rng = random.Random(2)
     for _ in range(50):
@@ -73,6 +117,7 @@ def test_discriminant_is_the_gaussian_formula(spark):
 
 
 V = sg.vocabulary(sg.DEFAULT_MODEL, 2e-4)
+LAT = sg.Lattices(V)
 
 
 def all_paths(text, V=V):
@@ -82,21 +127,21 @@ def all_paths(text, V=V):
         if i == len(s):
             out[tuple(ids)] = w
             return
-        go(i + 1, [*ids, int(V.single[ord(s[i])])], w + math.log(V.single_weight[ord(s[i])]))
+        go(i + 1, [*ids, int(V.single[ord(s[i])])], w + float(V.single_weight[ord(s[i])]))
         state, j = V.next[0, V.letter[ord(s[i])]], i + 1
         while state and j < len(s):
             state = V.next[state, V.letter[ord(s[j])]]
             j += 1
             if state and V.piece[state] >= 0:
-                go(j, [*ids, int(V.piece[state])], w + math.log(V.weight[state]))
+                go(j, [*ids, int(V.piece[state])], w + float(V.weight[state]))
 
     go(0, [], 0.0)
     z = np.logaddexp.reduce(list(out.values()))
     return {k: v - z for k, v in out.items()}
 
 
-def sampled(text, n, k, V=V):
-    return [x for i in range(0, n, 1000) for x in sg.sample_batch([text] * 1000, sg.mix(np.arange(i, i + 1000).astype(np.uint64)), V, k)]
+def sampled(text, n, k, lat=LAT):
+    return [x for i in range(0, n, 1000) for x in sg.sample_batch([text] * 1000, sg.mix(np.arange(i, i + 1000).astype(np.uint64)), lat, k)]
 
 
 def test_segmentations_follow_the_law_without_replacement():
@@ -112,12 +157,60 @@ def test_segmentations_follow_the_law_without_replacement():
     assert abs(np.mean([sum(math.exp(s[1] - s[2]) for s in x) for x in got]) - 1) < 0.02
 
 
-def test_few_segmentations_are_all_given():
-    flat = sg.vocabulary(sg.DEFAULT_MODEL, 1e-5)  # no path is so unlikely that it counts as absent
-    law = {k: w for k, w in all_paths("abc", flat).items() if w > -25}
-    got = sampled("abc", 1000, 20, flat)
+@pytest.mark.parametrize("alpha", [1e-5, 2e-4, 0.01, 0.1, 1.0])
+def test_few_segmentations_are_all_given(alpha):
+    # the least likely of these has a log probability below -30,000 for an alpha of 1
+    v = sg.vocabulary(sg.DEFAULT_MODEL, alpha)
+    law = all_paths("abc", v)
+    got = sampled("abc", 1000, 20, sg.Lattices(v))
     assert len(law) > 2
-    assert all(len(x) == len(law) and {tuple(s[0]) for s in x} == set(law) and all(s[2] == 0.0 for s in x) for x in got)
+    assert all(len(x) == len(law) and all(abs(s[1] - law[tuple(s[0])]) <= 1e-9 * max(1, -s[1]) and s[2] == 0.0 for s in x) for x in got)
+    assert all({tuple(s[0]) for s in x} == set(law) for x in got)
+
+
+@pytest.mark.parametrize("alpha", [2e-4, 0.01, 0.1, 1.0])
+@pytest.mark.parametrize("letters", [1, 90, 500])
+def test_long_words_and_large_alphas_have_finite_sums(alpha, letters):
+    rng = random.Random(letters)
+    word = "".join(rng.choice("abcdefghij") for _ in range(letters)) + " the"
+    v = sg.vocabulary(sg.DEFAULT_MODEL, alpha)
+    for x in sampled(word, 1000, 4, sg.Lattices(v))[:50]:
+        assert len(x) == len({tuple(s[0]) for s in x}) >= 2
+        assert all(math.isfinite(s[1]) and s[1] <= 1e-12 and math.isfinite(s[2]) and s[2] <= 0 for s in x)
+        assert all(b"".join(v.bytes[i] for i in s[0]).decode() == " " + word for s in x)
+
+
+def test_backward_sums_are_exact():
+    # log probability of a path is its score less the log of the sum over all paths, here by a plain recursion
+    for alpha in (2e-4, 0.1):
+        v = sg.vocabulary(sg.DEFAULT_MODEL, alpha)
+        text = "international bananas " + "xyz" * 40
+        s = "▁" + text.replace(" ", "▁")
+        after = [0.0] * (len(s) + 1)
+        for i in range(len(s) - 1, -1, -1):
+            terms = [float(v.single_weight[ord(s[i])]) + after[i + 1]]
+            state, j = v.next[0, v.letter[ord(s[i])]], i + 1
+            while state and j < len(s):
+                state = v.next[state, v.letter[ord(s[j])]]
+                j += 1
+                if state and v.piece[state] >= 0:
+                    terms.append(float(v.weight[state]) + after[j])
+            after[i] = float(np.logaddexp.reduce(terms))
+        scores = {i: w for w, i in [(v.weight[n], i) for n, i in enumerate(v.piece) if i >= 0]}
+        scores |= {int(i): float(w) for i, w in zip(v.single, v.single_weight, strict=True) if i >= 0}
+        for ids, log, _ in sampled(text, 1000, 2, sg.Lattices(v))[0]:
+            assert abs(sum(scores[int(i)] for i in ids) - after[0] - log) < 1e-6 * max(1, abs(after[0]))
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("etaoin\n.") for _ in range(rng.randint(1, 9))) for _ in range(30)) for _ in range(40)]
+    keys = np.arange(40).astype(np.uint64)
+    want = [sg.sample_batch([t], keys[i : i + 1], sg.Lattices(V), 3)[0] for i, t in enumerate(texts)]
+    monkeypatch.setattr(sg, "HELD_NODES", 500)
+    lat = sg.Lattices(V)
+    got = [x for a in range(0, 40, 5) for x in sg.sample_batch(texts[a : a + 5], keys[a : a + 5], lat, 3)]
+    assert str([[(s[0].tolist(), s[1], s[2]) for s in x] for x in got]) == str([[(s[0].tolist(), s[1], s[2]) for s in x] for x in want])
 
 
 def test_segmentations_decode_exactly(spark, docs, edge, none):
@@ -128,6 +221,7 @@ def test_segmentations_decode_exactly(spark, docs, edge, none):
         assert all(t == (r["text"] or "") for t in r["decoded_texts"]) and len({tuple(s) for s in r["segmentations"]}) == len(r["segmentations"])
     again = {(r["doc_id"], str(r["segmentations"])) for r in sg.sample_segmentations(d.repartition(7)).collect()}
     assert again == {(r["doc_id"], str(r["segmentations"])) for r in rows}
+    assert sg.sample_segmentations(d).where("NOT decodes").count() == 0
     assert sg.sample_segmentations(edge).count() == 8 and sg.sample_segmentations(none).count() == 0
     with pytest.raises(ValueError):
         sg.sample_segmentations(d, samples=0)
@@ -138,7 +232,7 @@ def test_greedy_pieces_agree_with_the_library():
 
     p = sentencepiece.SentencePieceProcessor(model_file=sg.DEFAULT_MODEL)
     t = "Hello world, été\nx"
-    for ids, _, _ in sg.sample_batch([t], np.array([5], dtype=np.uint64), V, 3)[0]:
+    for ids, _, _ in sg.sample_batch([t], np.array([5], dtype=np.uint64), LAT, 3)[0]:
         assert p.decode([int(i) for i in ids]) == t
 
 
@@ -230,7 +324,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark, docs, edge):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = {i: redact(t, find_secrets(t)) for i, t in texts.items() if not brute_hits(t, items)[2]}
     assert set(got) == set(texts)
-    assert all(V.decode(s) == texts[i] for i, r in got.items() for s in r["segmentations"])
+    assert all(b"".join(V.bytes[x] for x in s)[1:].decode() == texts[i] for i, r in got.items() for s in r["segmentations"])
 
 
 def test_pipeline_stages_take_edges(spark, edge):
