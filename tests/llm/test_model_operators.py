@@ -316,10 +316,10 @@ def test_pipeline_is_its_stages_by_brute_force(spark, docs, edge):
     got = {r["doc_id"]: r for r in cp.run(spark, DATA).collect()}
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     texts = {i: t for i, t in rows.items() if any(c.isalpha() for c in t)}
-    from test_search_operators import brute_groups, brute_hits
+    from test_search_operators import all_similar, brute_hits
     from tidewright.llm.secrets import find_secrets, redact
 
-    comp = brute_groups(texts)
+    comp = all_similar(texts)
     texts = {i: t for i, t in texts.items() if comp[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = {i: redact(t, find_secrets(t)) for i, t in texts.items() if not brute_hits(t, items)[2]}

@@ -75,15 +75,45 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _file_system(spark: SparkSession, path: str):
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends there,
-    and a lost executor costs at most a reread."""
+    and a lost executor costs at most a reread. The table goes when the driver ends, or before that by ``release``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}"
     plain = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
     plain.write.parquet(path)
+    fs, there = _file_system(spark, path)
+    fs.deleteOnExit(there)
     back = spark.read.schema(plain.schema).parquet(path)
-    return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    out = back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    out.tidewright_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        fs, there = _file_system(df.sparkSession, df.tidewright_path)
+        fs.delete(there, True)
+
+
+#: At most so many keys have more than this share of all rows: what a broadcast of hot keys is bounded by.
+HOT_KEYS = 4096
+
+
+def join_keyed(rows: DataFrame, table: DataFrame, keys: list[str], many: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has each key once. ``many`` (a column of the table, which the result
+    lacks) is the number of rows with the key, ``total`` of all rows. Keys with over one row in
+    ``HOT_KEYS`` are fewer than that by their count, so they are broadcast and their rows stay where they are; only the rest are shuffled."""
+    hot = F.col(many) * F.lit(HOT_KEYS) > F.lit(total)
+    top = F.broadcast(table.where(hot).drop(many))
+    rest = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(top, keys).unionByName(rest.join(table.where(~hot).drop(many), keys))
 
 
 def crc_mod(id_col: str, n: int) -> Column:

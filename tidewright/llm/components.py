@@ -1,10 +1,10 @@
 """Connected components of an edge table, by alternating star contractions.
 
 Each round hangs the larger neighbours of every node on its smallest one
-(large star), then the smaller ones (small star). Degrees never meet in one task as a list: a
-round is one aggregate of minima, combined before its shuffle, and one equi-join
-whose skewed side adaptive execution can split. Every round ends in a table in the
-shared folder, so a lost executor repeats one round at most.
+(large star), then the smaller ones (small star). Neighbours never meet in one task as a list: a
+round is one aggregate of minima, combined before its shuffle, and one join with those, in which the few nodes
+that have a large share of all edges are broadcast. Every round ends in a table in the
+shared folder, so a lost executor repeats one round at most; the table before it is deleted.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import join_keyed, materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction of edges (a, b) with a > b."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One contraction of edges (a, b) with a > b; ``total``: at most the number of them."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = both.join(low, "a")
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    joined = join_keyed(both, low, ["a"], "n", total)
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -35,6 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if state[0] == 0 or state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.tidewright_path = now.tidewright_path
+            return out
         before = state
-        now = materialize(_star(_star(now, large=True), large=False))
+        swung = materialize(_star(now, large=True, total=2 * state[0]))
+        after = materialize(_star(swung, large=False, total=2 * state[0]))
+        release(now, swung)
+        now = after

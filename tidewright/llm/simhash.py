@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import col, map_arrow, materialize, raw
+from ._common import HOT_KEYS, col, join_keyed, map_arrow, materialize, raw, release
 from .components import components
 
 
@@ -55,37 +55,6 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return fingerprint_of(shingle_hashes(text, shingle))
 
 
-#: Shingles of a class, and classes of a document whose fingerprints are blocks.
-CLASS_SHINGLES, CLASS_BLOCKS = 8, 32
-
-
-def class_blocks(hashes: np.ndarray) -> list[int]:
-    """Blocks of a long fingerprint, as keys: shingles are dealt into classes by their hash, each
-    class has a 64-bit fingerprint, and the first 32 of those are the blocks. Documents that differ
-    in fewer shingles than there are classes agree in a class, and then in its block. The number of
-    classes follows the size, and a size near a power of two counts for both sides of it."""
-    n = len(hashes)
-    if not n:
-        return []
-    bits = np.unpackbits(hashes, axis=1)
-    # not the low bits, nor in the order of any: a product spreads them
-    spread = (hashes.view(">u8").reshape(-1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    out = []
-    for level in sorted({int(np.log2(max(1.0, 0.8 * n))), int(np.log2(1.25 * n))}):
-        classes = max(1, (1 << level) // CLASS_SHINGLES)
-        c = (spread % np.uint64(classes)).astype(np.int64)
-        own = np.nonzero(c < CLASS_BLOCKS)[0]
-        own = own[np.argsort(c[own], kind="stable")]
-        if not len(own):
-            continue
-        heads = np.concatenate([[0], np.nonzero(np.diff(c[own]))[0] + 1])
-        sizes = np.diff(np.concatenate([heads, [len(own)]]))
-        ones = np.add.reduceat(bits[own], heads, axis=0, dtype=np.int32)
-        prints = np.packbits(2 * ones > sizes[:, None], axis=1)
-        out += [xxhash.xxh64_intdigest(level.to_bytes(1, "big") + int(k).to_bytes(2, "big") + p.tobytes(), 7) for k, p in zip(c[own[heads]], prints, strict=True)]
-    return out
-
-
 def fingerprints(docs: DataFrame, *, text_col: str = "text", keep: list[str], shingle: int = 3, name: str = "fp") -> DataFrame:
     """The kept columns and the fingerprint of the whole text as a signed long."""
 
@@ -113,8 +82,8 @@ def near_pairs(fps: DataFrame, *, max_distance: int = 2, blocks: int = 4, bucket
     same components as all pairs within the distance, each verified."""
     masks = [_signed(sum(c)) for c in combinations(_block_masks(blocks), blocks - max_distance)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("k", "v"))
-    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = materialize(keyed.join(sizes, ["k", "v"]))
+    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("many")).where("n > 1")
+    member = materialize(join_keyed(keyed, sizes, ["k", "v"], "many", fps.count() * len(masks)))
     small = member.where(F.col("n") <= bucket_pairs)
     pairs = (
         small.select("k", "v", F.col("fp").alias("a"))
@@ -154,17 +123,17 @@ def near_duplicates(
     An empty table gives no rows.
     """
     marked = materialize(fingerprints(docs, text_col=text_col, keep=[id_col], shingle=shingle, name="tidewright fp").select(col(id_col).alias("id"), F.col("`tidewright fp`").alias("fp")))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(near_pairs(nodes, max_distance=max_distance, blocks=blocks, bucket_pairs=bucket_pairs))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("many")))
+    roots = components(near_pairs(nodes.select("fp"), max_distance=max_distance, blocks=blocks, bucket_pairs=bucket_pairs))
     return _grouped(marked, nodes, roots, id_col)
 
 
 def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """Rows (id, fp) with the smallest id (low, by fingerprint) of their component."""
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    owner = placed.join(lows, "root").select("fp", "component_id")
-    out = marked.join(owner, "fp")
+    """Rows (id, fp) with the smallest id (low, by fingerprint) of their component; many: rows of a fingerprint."""
+    placed = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", "many", F.coalesce("root", "fp").alias("root")))
+    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    owner = materialize(join_keyed(placed, lows, ["root"], "nodes", placed.count()).select("fp", "component_id", "many"))
+    out = join_keyed(marked, owner, ["fp"], "many", marked.count())
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -217,9 +186,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
     there = texts.withColumn("h", F.xxhash64("t")).join(wanted, "h", "left_semi")
     sets = materialize(map_arrow(there, [F.col("t")], [], [("fp", T.LongType()), ("s", T.ArrayType(T.LongType()))], make).groupBy("fp").agg(F.first("s").alias("s")))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
     up, down = least.numerator, least.denominator
-    return materialize(both.where((up + down) * F.size(F.array_intersect("sa", "sb")).cast("long") >= up * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"))
+    good = materialize(both.where((up + down) * F.size(F.array_intersect("s_a", "s_b")).cast("long") >= up * (F.size("s_a") + F.size("s_b")).cast("long")).select("a", "b"))
+    release(sets)
+    return good
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """The pairs with the set of one side. A node of many pairs, as a pivot is, has its set once for each share of them."""
+    counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("of"))
+    total = pairs.count()
+    hot = counted.where(F.col("of") * HOT_KEYS > total).select(side, F.ceil(F.col("of") * HOT_KEYS / F.lit(max(total, 1))).cast("int").alias("parts"))  # fewer than HOT_KEYS rows
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(F.broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = sets.select(F.col("fp").alias(side), F.col("s").alias(f"s_{side}")).join(F.broadcast(hot), side, "left")
+    copies = spread.select(side, f"s_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copies, [side, "part"]).drop("part")
 
 
 def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -244,21 +227,29 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
         return step
 
     marked = materialize(map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("p", T.ArrayType(T.LongType()))], make))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min("h").alias("h"), F.min("n").alias("n"), F.first("p").alias("p")))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min("h").alias("h"), F.min("n").alias("n"), F.first("p").alias("p"), F.count(F.lit(1)).alias("many")))
     posted = nodes.select("fp", "n", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"))
-    sizes = posted.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1")
-    member = materialize(posted.join(sizes, "k"))
+    many = F.count(F.lit(1))
+    sizes = posted.groupBy("k").agg(many.alias("many"), many.alias("rows"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1")
+    member = materialize(join_keyed(posted, sizes, ["k"], "rows", nodes.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]))
 
     def paired(x: DataFrame, y: DataFrame) -> DataFrame:
         """Pairs of a list that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
         one, two = (z.select("k", *[F.col(c).alias(f"{c}_{side}") for c in z.columns if c != "k"]) for z, side in ((x, "a"), (y, "b")))
-        return one.join(two, "k").where((F.col("fp_a") != F.col("fp_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
+        return fits(one.join(two, "k"))
+
+    def fits(both: DataFrame) -> DataFrame:
+        return both.where((F.col("fp_a") != F.col("fp_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
 
     ordered = lambda z: z.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
     base = ["k", "fp", "n", "rest"]
     small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
-    star = paired(large.select(*base), large.where("fp = pivot").select(*base))
-    links = _verified(materialize(ordered(paired(small, small).where("fp_a > fp_b").unionByName(star))), nodes, texts, shingle, least)
+    # the pivot of a list travels with its members: a list in any number of tasks is compared with it
+    pivots = large.where("fp = pivot").select("k", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), "many")
+    star = fits(join_keyed(large.select("k", F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")), pivots, ["k"], "many", member.count()))
+    asked = materialize(ordered(paired(small, small).where("fp_a > fp_b").select("fp_a", "fp_b").unionByName(star.select("fp_a", "fp_b"))))
+    links = _verified(asked, nodes, texts, shingle, least)
+    release(asked)
     roots = components(links)
     if not large.isEmpty():
         # what the pivots left apart: every pair of a list that lies in two components has a member outside the list's largest one
@@ -266,8 +257,12 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
         shares = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"))
         most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         split = materialize(placed.join(most.select("k", "most"), "k"))
-        apart = paired(split.where("root <> most").select(*base, "root"), split.select(*base, "root")).where("root_a <> root_b")
-        roots = components(links.unionByName(_verified(materialize(ordered(apart)), nodes, texts, shingle, least)))
+        apart = materialize(ordered(paired(split.where("root <> most").select(*base, "root"), split.select(*base, "root")).where("root_a <> root_b")))
+        more = _verified(apart, nodes, texts, shingle, least)
+        whole = components(links.unionByName(more))
+        release(roots, split, apart, more)
+        roots = whole
+    release(member, links)
     return marked, nodes, roots
 
 
