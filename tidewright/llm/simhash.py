@@ -171,11 +171,48 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.array([r["n"] for r in top], dtype=np.int64)[at]
 
 
+#: Bits of a set's parity map, and longs that hold them.
+MAP_BITS = 512
+MAP_LONGS = MAP_BITS // 64
+
+
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of shingles whether the set has an odd number of them. Two sets differ in at least as
+    many shingles as their maps differ in bits."""
+    c = ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)).astype(np.int64)
+    return np.packbits((np.bincount(c, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _attach(pairs: DataFrame, values: DataFrame, side: str, hot: DataFrame) -> DataFrame:
+    """The pairs with the value (v, by fp) of one side as v_a or v_b. hot: nodes with over one in HOT_KEYS of all
+    pairs, so fewer than that, and parts; their value is given once to each part of their pairs."""
+    other = "b" if side == "a" else "a"
+    dealt = pairs.join(F.broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spread = values.select(F.col("fp").alias(side), F.col("v").alias(f"v_{side}")).join(F.broadcast(hot), side, "left")
+    copies = spread.select(side, f"v_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
+def _hot_sides(pairs: DataFrame) -> dict[str, DataFrame]:
+    total = max(1, pairs.count())
+    out = {}
+    for side in ("a", "b"):
+        counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("of")).where(F.col("of") * HOT_KEYS > total)
+        out[side] = counted.select(side, F.ceil(F.col("of") * HOT_KEYS / F.lit(total)).cast("int").alias("parts"))
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have the least similarity, counted exactly. Only the sets of
-    nodes in a pair are made, again from their texts."""
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    wanted = nodes.join(asked, "fp", "left_semi").select("h")
+    """The pairs (a, b) whose sets of shingles have the least similarity, counted exactly. A pair whose parity maps
+    differ in more bits than so similar sets differ in shingles is out; of the others' nodes the sets are made again from their texts."""
+    up, down = least.numerator, least.denominator
+    hot = _hot_sides(pairs)
+    maps = nodes.select("fp", F.struct("n", "m").alias("v"))
+    both = _attach(_attach(pairs, maps, "a", hot["a"]), maps, "b", hot["b"])
+    apart = F.aggregate(F.zip_with("v_a.m", "v_b.m", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    close = materialize(both.where((up + down) * apart <= (down - up) * (F.col("v_a.n") + F.col("v_b.n"))).select("a", "b"))
+    asked = close.select(F.col("a").alias("fp")).unionByName(close.select(F.col("b").alias("fp"))).distinct()
+    wanted = materialize(nodes.join(asked, "fp", "left_semi").select("h"))
 
     def make():
         def step(ts):
@@ -184,27 +221,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
         return step
 
-    there = texts.withColumn("h", F.xxhash64("t")).join(wanted, "h", "left_semi")
-    sets = materialize(map_arrow(there, [F.col("t")], [], [("fp", T.LongType()), ("s", T.ArrayType(T.LongType()))], make).groupBy("fp").agg(F.first("s").alias("s")))
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b")
-    up, down = least.numerator, least.denominator
-    good = materialize(both.where((up + down) * F.size(F.array_intersect("s_a", "s_b")).cast("long") >= up * (F.size("s_a") + F.size("s_b")).cast("long")).select("a", "b"))
-    release(sets)
+    # most texts are in no pair: those of a class of hashes (of at most 2^18) without a wanted one aren't shuffled
+    kinds = wanted.select(F.shiftrightunsigned("h", 46).alias("c")).distinct()
+    there = texts.withColumn("h", F.xxhash64("t")).withColumn("c", F.shiftrightunsigned("h", 46)).join(F.broadcast(kinds), "c", "left_semi").join(wanted.hint("shuffle_merge"), "h", "left_semi")
+    made = map_arrow(there.select("t"), [F.col("t")], [], [("fp", T.LongType()), ("v", T.ArrayType(T.LongType()))], make)
+    sets = materialize(made.groupBy("fp").agg(F.first("v").alias("v")))
+    hot = _hot_sides(close)
+    whole = _attach(_attach(close, sets, "a", hot["a"]), sets, "b", hot["b"])
+    good = materialize(whole.where((up + down) * F.size(F.array_intersect("v_a", "v_b")).cast("long") >= up * (F.size("v_a") + F.size("v_b")).cast("long")).select("a", "b"))
+    release(close, wanted, sets)
     return good
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """The pairs with the set of one side. A node of many pairs, as a pivot is, has its set once for each share of them."""
-    counted = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("of"))
-    total = pairs.count()
-    hot = counted.where(F.col("of") * HOT_KEYS > total).select(side, F.ceil(F.col("of") * HOT_KEYS / F.lit(max(total, 1))).cast("int").alias("parts"))  # fewer than HOT_KEYS rows
-    other = "b" if side == "a" else "a"
-    dealt = pairs.join(F.broadcast(hot), side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    spread = sets.select(F.col("fp").alias(side), F.col("s").alias(f"s_{side}")).join(F.broadcast(hot), side, "left")
-    copies = spread.select(side, f"s_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    return dealt.join(copies, [side, "part"]).drop("part")
-
-
 def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id: the key, fp), nodes (fp, low: smallest key) and the root of each node that has a link."""
     least = Fraction(str(similarity))
@@ -222,16 +250,25 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
                 heads.append(x[: len(x) + 1 + -len(x) * up // down])  # all but ceil(similarity * n) - 1
-            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads)]
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * MAP_LONGS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *map(parity_map, found)])))
+            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads), maps]
 
         return step
 
-    marked = materialize(map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("p", T.ArrayType(T.LongType()))], make))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min("h").alias("h"), F.min("n").alias("n"), F.first("p").alias("p"), F.count(F.lit(1)).alias("many")))
-    posted = nodes.select("fp", "n", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"))
+    longs = T.ArrayType(T.LongType())
+    mapped = map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("p", longs), ("m", longs)], make)
+    marked = materialize(mapped.withColumn("row", F.monotonically_increasing_id()))
+    # texts with the same set are one node; its prefix is that of one of its rows
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("row", "h", "n", "m")).alias("one"), F.count(F.lit(1)).alias("many")).select("fp", "low", "one.*", "many"))
+    shared = marked.select(F.explode("p").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = materialize(shared)  # rows, copies too: what a list has at most
+    posted = marked.join(nodes.select("row"), "row", "left_semi").select("fp", "n", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"))
+    total = marked.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]
+    listed = materialize(join_keyed(posted, shared, ["k"], "rows", total))
     many = F.count(F.lit(1))
-    sizes = posted.groupBy("k").agg(many.alias("many"), many.alias("rows"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1")
-    member = materialize(join_keyed(posted, sizes, ["k"], "rows", nodes.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]))
+    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1"))
+    member = materialize(join_keyed(listed, sizes, ["k"], "of", listed.count()))
+    release(shared, listed, sizes)
 
     def paired(x: DataFrame, y: DataFrame) -> DataFrame:
         """Pairs of a list that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
@@ -244,7 +281,7 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     ordered = lambda z: z.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
     base = ["k", "fp", "n", "rest"]
     small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
-    # the pivot of a list travels with its members: a list in any number of tasks is compared with it
+    # the pivot of a list goes to its members, in however many tasks they are
     pivots = large.where("fp = pivot").select("k", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), "many")
     star = fits(join_keyed(large.select("k", F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")), pivots, ["k"], "many", member.count()))
     asked = materialize(ordered(paired(small, small).where("fp_a > fp_b").select("fp_a", "fp_b").unionByName(star.select("fp_a", "fp_b"))))
