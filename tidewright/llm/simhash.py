@@ -171,16 +171,20 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.array([r["n"] for r in top], dtype=np.int64)[at]
 
 
-#: Bits of a set's parity map, and longs that hold them.
-MAP_BITS = 512
-MAP_LONGS = MAP_BITS // 64
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """For each of m classes of shingles whether the set has an odd number of them, as longs; m is the power of two
+    from the size of the set up, 64 at least. Two sets differ in at least as many shingles as their maps differ in bits. A map
+    of m classes is made one of m / 2 by the difference of its halves."""
+    m = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    c = (((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) & np.uint64(m - 1)).astype(np.int64)
+    return np.packbits((np.bincount(c, minlength=m) & 1).astype(np.uint8)).view(np.int64)
 
 
-def parity_map(found: np.ndarray) -> np.ndarray:
-    """For each of 512 classes of shingles whether the set has an odd number of them. Two sets differ in at least as
-    many shingles as their maps differ in bits."""
-    c = ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)).astype(np.int64)
-    return np.packbits((np.bincount(c, minlength=MAP_BITS) & 1).astype(np.uint8)).view(np.int64)
+def _map_distance(x: Column, y: Column) -> Column:
+    """Bits in which two parity maps differ, the larger one halved; their sizes are equal or a factor of two apart."""
+    size = F.least(F.size(x), F.size(y))
+    other = lambda z: F.when(F.size(z) > size, F.zip_with(F.slice(z, F.lit(1), size), F.slice(z, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(z)
+    return F.aggregate(F.zip_with(other(x), other(y), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int")), F.lit(0), lambda p, q: p + q)
 
 
 def _attach(pairs: DataFrame, values: DataFrame, side: str, hot: DataFrame) -> DataFrame:
@@ -193,6 +197,12 @@ def _attach(pairs: DataFrame, values: DataFrame, side: str, hot: DataFrame) -> D
     return dealt.join(copies, [side, "part"]).drop("part")
 
 
+def _class(h: str) -> Column:
+    """One of 2^18 classes of hashes: few enough to broadcast the ones that hold anything of interest. Rows of other
+    classes need no shuffle; where all classes hold something, nothing is saved and nothing lost."""
+    return F.shiftrightunsigned(h, 46)
+
+
 def _hot_sides(pairs: DataFrame) -> dict[str, DataFrame]:
     total = max(1, pairs.count())
     out = {}
@@ -209,7 +219,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     hot = _hot_sides(pairs)
     maps = nodes.select("fp", F.struct("n", "m").alias("v"))
     both = _attach(_attach(pairs, maps, "a", hot["a"]), maps, "b", hot["b"])
-    apart = F.aggregate(F.zip_with("v_a.m", "v_b.m", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    apart = _map_distance(F.col("v_a.m"), F.col("v_b.m"))
     close = materialize(both.where((up + down) * apart <= (down - up) * (F.col("v_a.n") + F.col("v_b.n"))).select("a", "b"))
     asked = close.select(F.col("a").alias("fp")).unionByName(close.select(F.col("b").alias("fp"))).distinct()
     wanted = materialize(nodes.join(asked, "fp", "left_semi").select("h"))
@@ -221,9 +231,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
 
         return step
 
-    # most texts are in no pair: those of a class of hashes (of at most 2^18) without a wanted one aren't shuffled
-    kinds = wanted.select(F.shiftrightunsigned("h", 46).alias("c")).distinct()
-    there = texts.withColumn("h", F.xxhash64("t")).withColumn("c", F.shiftrightunsigned("h", 46)).join(F.broadcast(kinds), "c", "left_semi").join(wanted.hint("shuffle_merge"), "h", "left_semi")
+    # most texts are in no pair
+    there = texts.withColumn("h", F.xxhash64("t")).withColumn("c", _class("h")).join(F.broadcast(wanted.select(_class("h").alias("c")).distinct()), "c", "left_semi").join(wanted.hint("shuffle_merge"), "h", "left_semi")
     made = map_arrow(there.select("t"), [F.col("t")], [], [("fp", T.LongType()), ("v", T.ArrayType(T.LongType()))], make)
     sets = materialize(made.groupBy("fp").agg(F.first("v").alias("v")))
     hot = _hot_sides(close)
@@ -250,8 +259,7 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
                 heads.append(x[: len(x) + 1 + -len(x) * up // down])  # all but ceil(similarity * n) - 1
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * MAP_LONGS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *map(parity_map, found)])))
-            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads), maps]
+            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads), _long_lists([parity_map(x).view(np.uint64) for x in found])]
 
         return step
 
@@ -266,7 +274,7 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     total = marked.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]
     listed = materialize(join_keyed(posted, shared, ["k"], "rows", total))
     many = F.count(F.lit(1))
-    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.min_by("fp", F.xxhash64("k", "fp")).alias("pivot")).where("many > 1"))
+    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.min("fp").alias("pivot")).where("many > 1"))
     member = materialize(join_keyed(listed, sizes, ["k"], "of", listed.count()))
     release(shared, listed, sizes)
 
@@ -303,22 +311,22 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     return marked, nodes, roots
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 2) -> DataFrame:
     """One row for each document row, id and component_id as in ``near_duplicates``, for documents
     that are similar though not nearly equal: two link if their sets of word shingles have at least the
     similarity (common among all), counted exactly. All such pairs are candidates: if each set is sorted in one
     order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
 
     Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
-    full. In larger ones each is first compared with one pivot; then all pairs of the list that are still in two
-    components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
+    full. In larger ones each is first compared with one pivot, the smallest, which most lists of a group have in common;
+    then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
     its pivots, which keeps its lists nearly linear; a large list of documents that are not similar takes pairs by the square.
     """
     marked, nodes, roots = _similar(docs, col(id_col), text_col, shingle, similarity, bucket_pairs)
     return _grouped(marked.select("id", "fp"), nodes, roots, id_col).drop("fingerprint")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 2) -> DataFrame:
     """All columns of the documents that stay: of each group of ``similar_groups`` the row with the smallest
     id, ties (repeated or null ids) by content, null ids last. Rows whose text has
     no words have nothing to compare and stay, all of them."""
@@ -331,7 +339,13 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     chosen = nodes.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
     chosen = materialize(chosen.select(F.col("low.id").alias("tidewright id"), F.col("low.row").alias("tidewright row")))
     match = col(id_col).eqNullSafe(col("tidewright id")) & (content == col("tidewright row"))
-    kept = docs.where(has_words)
+    # rows that go are of few classes of keys: those of other classes stay without a join
+    keyed = lambda i, r: F.xxhash64(i, r)
+    gone = marked.select(keyed(F.col("id.id"), F.col("id.row")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(chosen.select(keyed(col("tidewright id"), col("tidewright row")).alias("h"), F.lit(1).alias("stays")), "h", "left").where("stays IS NULL OR n > 1")
+    classes = materialize(gone.select(_class("h").alias("tidewright class")).distinct())
+    of_class = docs.where(has_words).withColumn("tidewright class", F.shiftrightunsigned(keyed(col(id_col), content), 46))
+    untouched = of_class.join(F.broadcast(classes), "tidewright class", "left_anti").select(*[col(c) for c in names])
+    kept = of_class.join(F.broadcast(classes), "tidewright class", "left_semi").select(*[col(c) for c in names])
     # equal rows: one of them stays
     again = marked.select(F.col("id.id").alias("tidewright id"), F.col("id.row").alias("tidewright row")).groupBy("tidewright id", "tidewright row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tidewright id", "tidewright row")
     if again.isEmpty():
@@ -341,4 +355,4 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         twice = lambda how: chosen.join(again.select(col("tidewright id").alias("a_id"), col("tidewright row").alias("a_row")), col("tidewright id").eqNullSafe(F.col("a_id")) & (col("tidewright row") == F.col("a_row")), how)
         equal = kept.join(twice("left_semi"), match, "left_semi").groupBy(col(id_col).alias("tidewright id"), content.alias("tidewright row")).agg(F.min(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(names)])).alias("s"))
         out = kept.join(twice("left_anti"), match, "left_semi").unionByName(equal.select(*[F.col(f"s.c{i}").alias(c) for i, c in enumerate(names)]))
-    return out.unionByName(docs.where(~has_words)).select(*[col(c) for c in names])
+    return out.unionByName(untouched).unionByName(docs.where(~has_words)).select(*[col(c) for c in names])
