@@ -41,7 +41,7 @@ def brute_hits(text, items, size=8):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1000])
 def test_decontamination_is_brute_force(spark, docs, block_bytes):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()] + [(900, "tiny Item"), (901, ""), (902, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -56,6 +56,33 @@ def test_decontamination_is_brute_force(spark, docs, block_bytes):
     assert got[10001]["n_items"] >= 2 and got[10002]["n_items"] == 1 and got[10003]["n_items"] == 0
 
 
+def test_index_is_small_and_blocks_keep_their_bound(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(40000)}" for _ in range(60000)]
+    text = " ".join(words).encode()
+    index = dc.Index([("1", text)], 8, {})
+    assert index.bytes < 60 * len(words)
+    bench = spark.createDataFrame([(1, text.decode()), (2, "short one"), (3, " ".join(words[:500]))], "item_id long, text string")
+    pieces = dc._pieces(bench, "item_id", "text", 8, 5000)
+    blocks = dc._blocks(pieces, 20000)
+    sizes = [sum(len(w) for _, w in dc._block(pieces, b)) for b in blocks]
+    assert len(blocks) > 10 and max(sizes) <= 20000
+    # every window of a long item is in one of its pieces
+    whole = {tuple(words[i : i + 8]) for i in range(len(words) - 7)}
+    held = {tuple(w.decode() for w in t.split()[i : i + 8]) for b in blocks for x, t in dc._block(pieces, b) if x == "1" for i in range(len(t.split()) - 7)}
+    assert held == whole
+    d = spark.createDataFrame([(1, "x " + " ".join(words[30000:30200]) + " y"), (2, "no"), (3, " ".join(words[:100]))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in dc.decontaminate(d, bench, block_bytes=20000).collect()}
+    assert got == {1: (200, ["1"]), 2: (0, []), 3: (100, ["1", "3"])}
+
+
+def test_words_that_are_in_all_windows_are_found_in_time(spark):
+    item = "the " * 3000
+    d = spark.createDataFrame([(1, "the " * 20000), (2, "the " * 7)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in dc.decontaminate(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (20000, 1), 2: (0, 0)}
+
+
 def test_decontamination_edges(spark, edge, none):
     bench = spark.createDataFrame([(1, "again and again"), (None, "same words"), (2, None)], "item_id long, text string")
     rows = dc.decontaminate(edge, bench, min_items=1).collect()
