@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 #: Rows that a Python worker holds at once; long texts make a row large.
 SLICE_ROWS = 256
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def col(name: str) -> Column:
@@ -37,6 +38,7 @@ def map_arrow(
     gets one Arrow array for each of ``inputs`` and returns one for each of
     ``fields``, with as many rows. Narrow: no shuffle, lost tasks are simply rerun.
     """
+    small_batches(df.sparkSession)
     names = {n for n, _ in fields}
     kept = [c for c in keep if c not in names]
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -57,6 +59,12 @@ def map_arrow(
     return done.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"r{i}").alias(c) for i, (c, _) in enumerate(fields)])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``SLICE_ROWS`` rows in this session, unless its configuration names a size of its own."""
+    if not spark.sparkContext.getConf().contains(_BATCH_ROWS):
+        spark.conf.set(_BATCH_ROWS, SLICE_ROWS)
+
+
 def raw(texts: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]

@@ -39,9 +39,9 @@ from ._common import col, map_arrow
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 #: Code points of a batch of texts whose lattices are built together.
-BATCH_CHARS = 200_000
+BATCH_CHARS = 100_000
 #: Nodes of lattices that a task keeps from batch to batch, about 150 bytes each.
-HELD_NODES = 1 << 18
+HELD_NODES = 1 << 17
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -452,12 +452,6 @@ def batches_of(texts: list[str]):
         yield at, len(texts)
 
 
-@lru_cache(maxsize=1)
-def lattices(path: str, alpha: float) -> Lattices:
-    """A worker's own; what it holds never changes a result."""
-    return Lattices(vocabulary(path, alpha))
-
-
 def _nested(flat: pa.Array, outer: np.ndarray, inner: np.ndarray | None = None) -> pa.Array:
     if inner is not None:
         flat = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), flat)
@@ -481,7 +475,7 @@ def sample_segmentations(
         raise ValueError("samples must be positive")
 
     def make():
-        lat = lattices(model_path, alpha)
+        lat = Lattices(vocabulary(model_path, alpha))
 
         def step(keys, texts):
             whole = [t or "" for t in texts.to_pylist()]
