@@ -137,6 +137,8 @@ def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Members of a large list that all others are compared with before pairs.
+PIVOTS = 4
 #: Texts that the order of shingles is learnt from (an expectation), and shingles in that order, most frequent last.
 ORDER_TEXTS, ORDER_SHINGLES = 8192, 1 << 16
 
@@ -274,7 +276,7 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     total = marked.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]
     listed = materialize(join_keyed(posted, shared, ["k"], "rows", total))
     many = F.count(F.lit(1))
-    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.min("fp").alias("pivot")).where("many > 1"))
+    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("k", "fp", F.lit(i))) for i in range(PIVOTS)])).alias("pivots")).where("many > 1"))
     member = materialize(join_keyed(listed, sizes, ["k"], "of", listed.count()))
     release(shared, listed, sizes)
 
@@ -289,8 +291,8 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     ordered = lambda z: z.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
     base = ["k", "fp", "n", "rest"]
     small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
-    # the pivot of a list goes to its members, in however many tasks they are
-    pivots = large.where("fp = pivot").select("k", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), "many")
+    # the pivots of a list go to its members, in however many tasks they are
+    pivots = large.where(F.array_contains("pivots", F.col("fp"))).select("k", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), "many")
     star = fits(join_keyed(large.select("k", F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")), pivots, ["k"], "many", member.count()))
     asked = materialize(ordered(paired(small, small).where("fp_a > fp_b").select("fp_a", "fp_b").unionByName(star.select("fp_a", "fp_b"))))
     links = _verified(asked, nodes, texts, shingle, least)
@@ -301,8 +303,9 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
         placed = large.join(roots, F.col("fp") == F.col("node"), "left").select(*base, F.coalesce("root", "fp").alias("root"))
         shares = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"))
         most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = materialize(placed.join(most.select("k", "most"), "k"))
-        apart = materialize(ordered(paired(split.where("root <> most").select(*base, "root"), split.select(*base, "root")).where("root_a <> root_b")))
+        split = materialize(placed.join(most.select("k", "most"), "k").join(nodes.select("fp", "m"), "fp"))
+        close = (up + down) * _map_distance(F.col("m_a"), F.col("m_b")) <= (down - up) * (F.col("n_a") + F.col("n_b"))
+        apart = materialize(ordered(paired(split.where("root <> most").select(*base, "root", "m"), split.select(*base, "root", "m")).where(F.col("root_a") != F.col("root_b")).where(close)))
         more = _verified(apart, nodes, texts, shingle, least)
         whole = components(links.unionByName(more))
         release(roots, split, apart, more)
@@ -311,22 +314,21 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     return marked, nodes, roots
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
     """One row for each document row, id and component_id as in ``near_duplicates``, for documents
     that are similar though not nearly equal: two link if their sets of word shingles have at least the
     similarity (common among all), counted exactly. All such pairs are candidates: if each set is sorted in one
     order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
 
     Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
-    full. In larger ones each is first compared with one pivot, the smallest, which most lists of a group have in common;
-    then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
+    full. In larger ones each is first compared with ``PIVOTS`` members, others for each list; then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
     its pivots, which keeps its lists nearly linear; a large list of documents that are not similar takes pairs by the square.
     """
     marked, nodes, roots = _similar(docs, col(id_col), text_col, shingle, similarity, bucket_pairs)
     return _grouped(marked.select("id", "fp"), nodes, roots, id_col).drop("fingerprint")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_pairs: int = 16) -> DataFrame:
     """All columns of the documents that stay: of each group of ``similar_groups`` the row with the smallest
     id, ties (repeated or null ids) by content, null ids last. Rows whose text has
     no words have nothing to compare and stay, all of them."""
