@@ -297,19 +297,43 @@ def test_other_pages_and_edges(spark):
     assert len(rows) == 4 and pg.extract_pages(d.limit(0), w).count() == 0 and pg.learn_weights(d.limit(0)) == pg.weights_of({})
 
 
+def test_pages_with_ends_left_out_and_names_of_sections():
+    w = pg.weights_of({})
+    body = "<article><p>One two three four five six.</p></article>"
+    want = "One two three four five six."
+    for head in ("<head><title>x</title><body>", "<head><title>x<body>", "<head><meta charset=x><body>", "<head><title>x</title></head>", "<body><select><option>a<option>b<p>", "<body><textarea>", "<svg><path d=1>"):
+        assert pg.extract(f"<html>{head}{body}", w).endswith(want), head
+    kept = "<article><h2 id='related-work'>Related work</h2><p class=search>A search is here now.</p><div class='notice-of-motion'>Notice of a motion given.</div><p>x <math>a b</math> <object>c d</object></p><div class='cookie-notice'>no</div><p class=ad>no</p></article>"
+    assert pg.extract(kept, w) == "Related work\n\nA search is here now.\n\nNotice of a motion given.\n\nx a b c d"
+    assert pg.extract("<p>1 < 2 and a<b>c</b> <3</p>", w) == "1 < 2 and ac <3"
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for bit, tail in (("<p '", ""), ('<p a="', ""), ("<p a='x>", ""), ("<div>", "</b>" * 8000), ("<!-", ""), ("<title>", ""), ("<", ""), ("<b><p>", "</i>" * 8000), ("<select><option>", "<p>x")):
+        begun = time.process_time()
+        list(pg.events(bit * 8000 + tail))
+        assert time.process_time() - begun < 2.0, bit
+
+
 def test_max_scoring_run_is_brute_force():
     rng = random.Random(3)
     weights = pg.weights_of({})
-    for _ in range(200):
-        bits = [rng.choice(["<p>", "</p>", "<nav>a b c d</nav>", " word more ", "<i>", "</i>", "<div class=ad>x y</div>"]) for _ in range(rng.randint(1, 9))]
+    for _ in range(300):
+        bits = [rng.choice(["<p>", "</p>", "<nav>a b c d</nav>", " word more ", "<i>", "</i>", "<div class=ad>x y</div>", "once"]) for _ in range(rng.randint(1, 9))]
         html = "".join(bits)
+        seen = list(pg.events(html))
         scores = []
-        for kind, name, text, skip, inside in pg.events(html):
+        for kind, name, text, skip, _ in seen:
             n = len(text.split())
             scores.append(n * (weights["word:skipped"] if skip else weights["word:content"]) if kind == "text" else weights.get("tag:skipped", weights["tag"]) if skip else weights.get(f"tag:{name}", weights["tag"]))
-        top = max([sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)], default=0)
-        words = len(pg.extract(html, weights).split())
-        assert (words > 0) == (top > 0)
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        top = max(sums.values(), default=0)
+        best = {(i, j) for (i, j), x in sums.items() if x > top - 1e-9}
+        texts = {" ".join("".join(" " if k in ("break", "space") else x for k, _, x, skip, _ in seen[i:j] if not skip or k in ("break", "space")).split()) for i, j in best}
+        got = " ".join(pg.extract(html, weights).split())
+        assert got in texts if top > 1e-9 else got == "", (html, got, texts)
 
 
 def test_pipeline_is_its_stages_by_brute_force(spark, docs, edge):
