@@ -24,6 +24,14 @@ def test_commands(spark, tmp_path, capsys):
     base = ["--data", str(tmp_path), "--peers", str(tmp_path / "p.yaml"), "--taxonomy", str(tmp_path / "t.yaml")]
     for command in ("fetch", "parse", "classify", "goldset", "analyze", "memo"):
         main([command, *base])
+    sheet = spark.read.csv(str(tmp_path / "worksheet"), header=True, multiLine=True, escape='"').toPandas().fillna("")
+    sheet["notes"], sheet["gold_labels"] = "NONE", ["isv" if "software vendor" in t else "" for t in sheet["text"]]
+    for f in (tmp_path / "worksheet").glob("*"):
+        f.unlink()
+    sheet.to_csv(tmp_path / "worksheet" / "labelled.csv", index=False)
+    main(["benchmark", *base])
+    told = json.loads((tmp_path / "benchmark.json").read_text())
+    assert told["llm"]["micro_f1"] == told["keyword_baseline"]["micro_f1"] == 1.0 and told["n"] == len(sheet) and told["llm"]["per_theme"][0]["theme"] == "isv" and told["confusions"] == []
     said = capsys.readouterr().out
     assert "no CIK for ZZ" in said and "AA 2020: no item7" in said and "0 chunks on which" in said
     assert "| 2020 | 2,000 |" in (tmp_path / "memos" / "AA.md").read_text() and "| AA | a | 2021 |" in (tmp_path / "memos" / "crosscut.md").read_text()

@@ -71,3 +71,37 @@ def test_cagr_join_reads_every_nation(spark, tmp_path):
     spark.range(n).selectExpr("id AS c_custkey", "id AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
     spark.range(2 * n).selectExpr("id % 1200 AS o_custkey", "date'1996-05-01' AS o_orderdate", "100.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
     assert pq.cagr_join(spark, str(tmp_path)).count() == n
+
+
+def test_predictions_given_twice_count_once(spark):
+    from pyspark.errors import PySparkException
+    import pytest
+
+    from tidewright.operators import labels as lb
+    from tidewright.operators import panel as pn
+
+    c = spark.createDataFrame([("a", "AA", 2020, True), ("b", "AA", 2020, False)], "chunk_id string, ticker string, fiscal_year int, is_new_language boolean")
+    p = spark.createDataFrame([("a", ["isv"], 0), ("a", ["isv"], 1), ("b", ["fx"], 2), ("b", ["isv"], 3)], "chunk_id string, labels array<string>, pos int")
+    mentions = {(r["theme"]): r["mentions"] for r in pn.build_panel(c, p, STUDY.table(spark), TAX.table(spark)).collect()}
+    assert mentions == {"isv": 2, "fx": 0}
+    same = p.drop("pos").where("chunk_id = 'a'")
+    assert {r["theme"]: r["mentions"] for r in pn.build_panel(c, same, STUDY.table(spark), TAX.table(spark)).collect()} == {"isv": 1, "fx": 0}
+    with pytest.raises(PySparkException):
+        lb.one_prediction(p.drop("pos")).collect()
+
+
+def test_classify_keeps_a_cache(spark, tmp_path):
+    import json
+
+    sent = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        sent.add(len(texts))
+        return json.dumps([{"index": i, "labels": ["isv"] if "vendor" in t else []} for i, t in enumerate(texts)])
+
+    c = spark.createDataFrame([(f"c{i}", "a vendor" if i % 2 else f"text {i}") for i in range(10)], "chunk_id string, text string")
+    for _ in range(2):
+        preds, _odd = jobs.classify(c, TAX, model=model, model_name="m", cache_path=str(tmp_path / "cache"))
+        assert {r["chunk_id"]: r["labels"] for r in preds.collect()} == {f"c{i}": ["isv"] if i % 2 else [] for i in range(10)}
+        assert sent.value == 10
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 6

@@ -50,8 +50,12 @@ def classify(spark, study, tax, a):
 
 
 def benchmark(spark, study, tax, a):
-    """Scores predictions and keywords against the labelled worksheet."""
+    """Scores predictions and keywords against the labelled worksheet; writes benchmark.json."""
+    import json
+    from pathlib import Path
+
     out = jobs.benchmark(spark, f"{a.data}/worksheet", spark.read.parquet(f"{a.data}/predictions"), tax, by_stratum=a.by_stratum)
+    Path(a.data, "benchmark.json").write_text(json.dumps(jobs.benchmark_record(out, tax), indent=2), encoding="utf-8")
     for name, df in out.items():
         print(name)
         df.show(truncate=False)

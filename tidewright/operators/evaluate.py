@@ -16,10 +16,15 @@ def ratio(a, b) -> Column:
 
 def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """id, gold, pred from (id, labels) frames; sets that differ are an error."""
-    g, p = gold.select("id", F.col("labels").alias("gold")), pred.select("id", F.col("labels").alias("pred"))
-    if g.join(p, "id", "left_anti").limit(1).count() or p.join(g, "id", "left_anti").limit(1).count() or g.count() != p.count():
-        raise ValueError("gold and predictions have different rows")
-    return g.join(p, "id")
+    g = gold.groupBy("id").agg(F.first("labels").alias("gold"), F.count(F.lit(1)).alias("gold_rows"))
+    p = pred.groupBy("id").agg(F.first("labels").alias("pred"), F.count(F.lit(1)).alias("pred_rows"))
+    both = g.join(p, "id", "full_outer").persist()
+    try:
+        if both.where("gold_rows IS DISTINCT FROM 1 OR pred_rows IS DISTINCT FROM 1").limit(1).count():
+            raise ValueError("gold and predictions have different rows")
+    finally:
+        both.unpersist()
+    return both.select("id", "gold", "pred")
 
 
 def counts(rows: DataFrame, themes: list[str]) -> DataFrame:

@@ -12,14 +12,6 @@ SEED = 20260101
 FIELDS = ("chunk_id", "ticker", "cohort", "fiscal_year", "item", "stratum", "is_new_language", "baseline_labels", "gold_labels", "notes", "text")
 
 
-def _draw(pool: DataFrame, quota: int, seed: int, buckets: list[str], id_col: str) -> DataFrame:
-    """Round robin over the sorted buckets: by (turn, bucket). Only rows of early turns can be
-    drawn, so each bucket gives at most ``quota`` rows to the final sort."""
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
-    turns = pool.withColumn("rn", F.row_number().over(Window.partitionBy(*buckets).orderBy(key, id_col)))
-    return turns.orderBy("rn", *buckets).limit(max(0, quota)).drop("rn")
-
-
 def round_half_even(x: float) -> int:
     return round(x)
 
@@ -27,15 +19,23 @@ def round_half_even(x: float) -> int:
 def stratified_sample(
     chunks: DataFrame, taxonomy, *, target_n: int = 400, enriched_share: float = 0.5, seed: int = SEED, buckets: list[str] | None = None, id_col: str = "chunk_id", text_col: str = "text"
 ) -> DataFrame:
-    """chunks (with cohort) -> the drawn rows with stratum ("enriched": a keyword hit, or
-    "random") and baseline_labels, ordered by a seeded hash. The plain quota fills up what the
-    enriched pool lacks; the reverse doesn't hold."""
+    """chunks (with cohort, one row an id) -> the drawn rows with stratum ("enriched": a keyword hit, or
+    "random") and baseline_labels, ordered by a seeded hash. Each pool is drawn round robin over its sorted buckets. The
+    plain quota fills up what the enriched pool lacks; the reverse doesn't hold.
+
+    Ids, buckets and labels alone are ranked, and a bucket gives ``target_n`` rows at most to the draw; texts are
+    joined to the drawn ids."""
     by = buckets or ["cohort", "fiscal_year", "item"]
-    labelled = chunks.withColumn("baseline_labels", keyword_labels(F.col(text_col), taxonomy))
-    hit = F.size("baseline_labels") > 0
-    enriched = _draw(labelled.where(hit), round_half_even(target_n * enriched_share), seed, by, id_col).withColumn("stratum", F.lit("enriched")).persist()
-    plain = _draw(labelled.where(~hit), target_n - enriched.count(), seed, by, id_col).withColumn("stratum", F.lit("random"))
-    both = enriched.unionByName(plain)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
+    slim = chunks.select(F.col(id_col).alias("tw_id"), *by, keyword_labels(F.col(text_col), taxonomy).alias("baseline_labels"), key.alias("h")).withColumn("hit", F.size("baseline_labels") > 0)
+    turns = slim.withColumn("rn", F.row_number().over(Window.partitionBy("hit", *by).orderBy("h", "tw_id"))).where(F.col("rn") <= target_n)
+    placed = turns.withColumn("k", F.row_number().over(Window.partitionBy("hit").orderBy("rn", *by)))
+    quota = round_half_even(target_n * enriched_share)
+    enriched = F.col("hit") & (F.col("k") <= quota)
+    near = placed.where(F.col("k") <= target_n).withColumn("enriched", F.count_if(enriched).over(Window.partitionBy()))  # two pools of target_n rows
+    drawn = near.where(enriched | (~F.col("hit") & (F.col("k") <= target_n - F.col("enriched"))))
+    picked = drawn.select("tw_id", F.when(F.col("hit"), "enriched").otherwise("random").alias("stratum"), "baseline_labels")
+    both = chunks.drop("stratum", "baseline_labels").join(F.broadcast(picked), F.col(id_col) == F.col("tw_id")).drop("tw_id")
     return both.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col(id_col).cast("string"))), id_col)
 
 

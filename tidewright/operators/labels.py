@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key, keyword_labels
@@ -86,7 +86,8 @@ def _call(model: Callable[[list[str]], str], texts: list[str]) -> list[tuple[lis
 def classify(chunks: DataFrame, taxonomy, model: Callable[[list[str]], str], *, model_name: str, cache: DataFrame | None = None, batch_size: int = BATCH_SIZE, limit: int = 0, order_col: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """(predictions, new cache rows). cache: key, labels, rationale; rows without labels count as
     misses. Misses are sent in batches; labels are validated on either way. A limit takes the first
-    chunks in order before anything is sent. Persist the second frame and append it to the cache table."""
+    chunks in order before anything is sent. Either frame asks the model when it is computed: append the second
+    to the cache table, then call again with that table, as ``jobs.classify`` does."""
     todo = chunks.orderBy(order_col).limit(limit) if limit else chunks
     keyed = todo.select("chunk_id", "text", cache_key(F.col("text"), taxonomy.version, model_name).alias("key"))
     known = (cache if cache is not None else chunks.sparkSession.createDataFrame([], "key string, labels array<string>, rationale string")).where("labels IS NOT NULL")
@@ -101,7 +102,7 @@ def classify(chunks: DataFrame, taxonomy, model: Callable[[list[str]], str], *,
                 got = _call(model, part["text"].tolist())
                 yield pd.DataFrame({"chunk_id": part["chunk_id"].tolist(), "key": part["key"].tolist(), "labels": [x[0] for x in got], "rationale": [x[1][:RATIONALE_CHARS] for x in got]})
 
-    fresh = misses.mapInPandas(ask, "chunk_id string, key string, labels array<string>, rationale string").persist()
+    fresh = misses.mapInPandas(ask, "chunk_id string, key string, labels array<string>, rationale string")
     valid = taxonomy.valid_labels(F.col("labels")).alias("labels")
     both = hits.unionByName(fresh).select("chunk_id", valid, F.lit(model_name).alias("model"), F.lit(taxonomy.version).alias("taxonomy_version"), F.coalesce("rationale", F.lit("")).alias("rationale"))
     return both, fresh.select("key", valid, "rationale").dropDuplicates(["key"])
@@ -113,12 +114,12 @@ def disagreements(chunks: DataFrame, predictions: DataFrame, taxonomy) -> DataFr
     return both.where(F.array_sort("keyword_labels") != F.array_sort(F.array_distinct("labels")))
 
 
-def last_predictions(predictions: DataFrame, pos_col: str) -> DataFrame:
-    """One prediction a chunk: the last in order."""
-    return predictions.groupBy("chunk_id").agg(F.max_by("labels", pos_col).alias("labels"))
-
-
-def batch_ids(rows: DataFrame, order: Column, size: int = BATCH_SIZE) -> DataFrame:
-    """Rows with ``batch``: consecutive groups of ``size`` in order. Orders all rows, so meant
-    for worksheets and other small sets; ``classify`` batches within partitions instead."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+def one_prediction(predictions: DataFrame) -> DataFrame:
+    """chunk_id, labels: one row a chunk. Of several predictions the last by ``pos`` wins, if there is such a column;
+    without it equal ones are one and different ones fail the job."""
+    by = predictions.groupBy("chunk_id")
+    if "pos" in predictions.columns:
+        return by.agg(F.max_by("labels", "pos").alias("labels"))
+    found = by.agg(F.min("labels").alias("labels"), F.max("labels").alias("other"))
+    clash = F.raise_error(F.concat(F.lit("different predictions for chunk "), F.col("chunk_id").cast("string"))).cast("array<string>")
+    return found.select("chunk_id", F.when(F.col("labels") == F.col("other"), F.col("labels")).when(F.col("labels").isNull(), F.col("labels")).otherwise(clash).alias("labels"))

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from ..config import with_cohort
 from .evaluate import ratio
+from .labels import one_prediction
 
 
-def build_panel(chunks: DataFrame, labels: DataFrame, peers: DataFrame, themes: DataFrame) -> DataFrame:
+def build_panel(chunks: DataFrame, labels: DataFrame | None, peers: DataFrame, themes: DataFrame) -> DataFrame:
     """ticker, cohort, theme, fiscal_year, mentions, new_mentions, total_chunks, salience, new_salience.
 
     Every company-year with chunks has a row for every theme. All chunks count in the total, labelled or
     not; labels that are no theme vanish; a label given twice counts twice. labels: chunk_id,
-    labels, one row a chunk. themes: theme, ord (the dimension of the taxonomy)."""
-    base = chunks.select("chunk_id", "ticker", "fiscal_year", "is_new_language")
+    labels, one prediction a chunk (see ``one_prediction``); None if the chunks have a labels column of their own,
+    which saves the join. themes: theme, ord (the dimension of the taxonomy)."""
+    base = chunks.select("chunk_id", "ticker", "fiscal_year", "is_new_language", *(["labels"] if labels is None else []))
     totals = base.groupBy("ticker", "fiscal_year").agg(F.count(F.lit(1)).alias("total_chunks"))
-    said = base.join(labels.select("chunk_id", "labels"), "chunk_id").select("ticker", "fiscal_year", "is_new_language", F.explode("labels").alias("theme"))
+    told = base if labels is None else base.join(one_prediction(labels), "chunk_id")
+    said = told.select("ticker", "fiscal_year", "is_new_language", F.explode("labels").alias("theme"))
     mentions = said.groupBy("ticker", "fiscal_year", "theme").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("is_new_language").alias("new_mentions"))
     ordered = themes.agg(F.array_sort(F.collect_list(F.struct("ord", "theme"))).alias("t"))  # one row: a taxonomy is a short list
     grid = totals.crossJoin(F.broadcast(ordered)).select("ticker", "fiscal_year", "total_chunks", F.explode("t").alias("z")).select("ticker", "fiscal_year", "total_chunks", F.col("z.theme").alias("theme"), F.col("z.ord").alias("theme_ord"))
@@ -100,7 +103,7 @@ def quotes(chunks: DataFrame, labels: DataFrame, *, each: int = 5) -> DataFrame:
     400 characters are cut to 397 and three dots."""
     from pyspark.sql import Window
 
-    rows = chunks.where("is_new_language").select("ticker", "fiscal_year", "chunk_id", "text").join(labels.select("chunk_id", "labels"), "chunk_id").select("ticker", "fiscal_year", "chunk_id", "text", F.posexplode("labels").alias("p", "theme"))
+    rows = chunks.where("is_new_language").select("ticker", "fiscal_year", "chunk_id", "text").join(one_prediction(labels), "chunk_id").select("ticker", "fiscal_year", "chunk_id", "text", F.posexplode("labels").alias("p", "theme"))
     by = Window.partitionBy("ticker").orderBy(F.desc("fiscal_year"), "chunk_id", "p")
     short = F.when(F.length("text") <= 400, F.col("text")).otherwise(F.concat(F.substring("text", 1, 397), F.lit("...")))
     return rows.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= each).select("ticker", "theme", "fiscal_year", short.alias("excerpt"), "rn")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten_html, strip
@@ -23,28 +23,46 @@ HEADINGS = (
 MIN_SECTION_CHARS = 1500
 
 
+def _split_pattern(headings) -> str:
+    """Where a heading begins; what all of them begin with is tested once."""
+    stem = r"item\s*"
+    if all(p.startswith(stem) for _, p in headings):
+        return rf"(?iU)(?={stem}(?:{'|'.join(p[len(stem):] for _, p in headings)}))"
+    return "(?iU)(?=" + "|".join(p for _, p in headings) + ")"
+
+
+def _found(text: Column, headings) -> Column:
+    """Headings of a text in order as structs pos, item, body (stripped), start, end (offsets of the unstripped body).
+    A filing is one row, so all of this is done within the row."""
+    parts = F.split(text, _split_pattern(headings))
+    whole = "(?iU)^(?:" + "|".join(p for _, p in headings) + ")"
+    zero = F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("sum"))
+    ends = F.aggregate(parts, zero, lambda a, x: F.struct(F.concat(a["ends"], F.array(a["sum"] + F.length(x))).alias("ends"), (a["sum"] + F.length(x)).alias("sum")), lambda a: a["ends"])
+    headed = F.transform(F.arrays_zip(parts.alias("part"), ends.alias("end")), lambda z, i: F.struct(i.alias("pos"), F.regexp_extract(z["part"], whole, 0).alias("head"), z["part"].alias("part"), z["end"].alias("end")))
+    item = lambda h: F.coalesce(*[F.when(h.rlike(f"(?iU)^(?:{p})"), F.lit(i)) for i, p in headings])
+    return F.transform(
+        F.filter(headed, lambda z: z["head"] != ""),
+        lambda z: F.struct(
+            z["pos"].alias("pos"), item(z["head"]).alias("item"), strip(F.substring(z["part"], F.length(z["head"]) + 1, F.length(z["part"]))).alias("body"),
+            (z["end"] - F.length(z["part"]) + F.length(z["head"])).alias("start"), z["end"].alias("end"),
+        ),
+    )
+
+
 def candidates(filings: DataFrame, keys: list[str], text_col: str = "text", headings=HEADINGS) -> DataFrame:
     """Every heading and what follows it up to the next heading of any kind: keys, pos, item,
     body (stripped), start and end (offsets of the unstripped body)."""
-    at = "(?iU)(?=" + "|".join(p for _, p in headings) + ")"
-    rows = filings.select(*keys, F.posexplode(F.split(text_col, at)).alias("pos", "part"))
-    # where a part begins: the lengths before it; the choice of the longest reuses this partitioning
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)).cast("int"))
-    head = F.coalesce(*[F.nullif(F.regexp_extract("part", f"(?iU)^(?:{p})", 0), F.lit("")) for _, p in headings])
-    item = F.coalesce(*[F.when(F.col("part").rlike(f"(?iU)^(?:{p})"), F.lit(i)) for i, p in headings])
-    found = rows.withColumn("item", item).where(F.col("item").isNotNull()).withColumn("head", head)
-    raw = F.expr("substring(part, length(head) + 1)")
-    return found.select(*keys, "pos", "item", strip(raw).alias("body"), (F.col("at") + F.length("head")).alias("start"), (F.col("at") + F.length("part")).alias("end"))
+    return filings.select(*keys, F.inline(_found(F.col(text_col), headings)))
 
 
 def split_items(filings: DataFrame, keys: list[str], text_col: str = "text", *, min_chars: int = MIN_SECTION_CHARS, headings=HEADINGS) -> DataFrame:
     """One row for each filing and item: keys, item, text, start, end, char_count. The longest
     body wins, the earliest of equals; items whose longest body is shorter than
-    ``min_chars`` are left out after that choice. Filings without headings have no rows."""
-    best = Window.partitionBy(*keys, "item").orderBy(F.desc(F.length("body")), "pos")
-    picked = candidates(filings, keys, text_col, headings).withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    return picked.where(F.length("body") >= min_chars).select(*keys, "item", F.col("body").alias("text"), "start", "end", F.length("body").alias("char_count"))
+    ``min_chars`` are left out after that choice. Filings without headings have no rows. No shuffle."""
+    rows = filings.select(*keys, _found(F.col(text_col), headings).alias("tw_found"))
+    longest = lambda i: F.array_max(F.transform(F.filter("tw_found", lambda z: z["item"] == i), lambda z: F.struct(F.length(z["body"]).alias("n"), (-z["pos"]).alias("order"), z["item"].alias("item"), z["body"].alias("body"), z["start"].alias("start"), z["end"].alias("end"))))
+    best = F.filter(F.array(*[longest(i) for i, _ in headings]), lambda z: z["n"] >= min_chars)
+    return rows.select(*keys, F.inline(best)).select(*keys, "item", F.col("body").alias("text"), "start", "end", F.col("n").alias("char_count"))
 
 
 def extract_sections(filings: DataFrame, keys: list[str], wanted: list[str] | None = None, html_col: str = "html", *, min_chars: int = MIN_SECTION_CHARS) -> DataFrame:

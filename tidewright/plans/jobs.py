@@ -35,10 +35,20 @@ def parse(filings: DataFrame, taxonomy, *, min_chars: int = sc.MIN_SECTION_CHARS
     return nv.mark_novelty(ch.chunk_sections(sections)), sc.missing_sections(filings, sections, ["ticker", "fiscal_year"], list(taxonomy.sections_in_scope))
 
 
-def classify(chunks: DataFrame, taxonomy, *, model=None, model_name: str = "keywords", cache: DataFrame | None = None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(predictions, chunks on which the keyword labeler disagrees)."""
+def classify(chunks: DataFrame, taxonomy, *, model=None, model_name: str = "keywords", cache_path: str | None = None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(predictions, chunks on which the keyword labeler disagrees). A model's answers are appended to the Parquet
+    table at ``cache_path``, and predictions are read from it: no chunk is sent twice, and no text that an earlier run has sent."""
     todo = chunks.orderBy("chunk_id").limit(limit) if limit else chunks
-    predicted = lb.keyword_predictions(todo, taxonomy) if model is None else lb.classify(todo, taxonomy, model, model_name=model_name, cache=cache)[0]
+    if model is None:
+        predicted = lb.keyword_predictions(todo, taxonomy)
+    else:
+        if cache_path is None:
+            raise ValueError("a model needs a cache_path")
+        spark = chunks.sparkSession
+        held = lambda: spark.read.schema("key string, labels array<string>, rationale string").parquet(cache_path)
+        spark.createDataFrame([], "key string, labels array<string>, rationale string").write.mode("append").parquet(cache_path)
+        lb.classify(todo, taxonomy, model, model_name=model_name, cache=held())[1].write.mode("append").parquet(cache_path)
+        predicted = lb.classify(todo, taxonomy, model, model_name=model_name, cache=held())[0]
     return predicted, lb.disagreements(todo, predicted, taxonomy)
 
 
@@ -59,7 +69,7 @@ def benchmark(spark: SparkSession, worksheet: str, predictions: DataFrame, taxon
         raise ValueError("the worksheet has no labelled rows")
     none = F.array().cast("array<string>")
     base = gold.select(F.col("chunk_id").alias("id"), "stratum", "text", F.col("gold_labels").alias("gold"))
-    model = base.join(predictions.select(F.col("chunk_id").alias("id"), "labels"), "id", "left").select("id", "stratum", "gold", F.coalesce("labels", none).alias("pred")).persist()
+    model = base.join(lb.one_prediction(predictions).select(F.col("chunk_id").alias("id"), "labels"), "id", "left").select("id", "stratum", "gold", F.coalesce("labels", none).alias("pred")).persist()
     keywords = base.select("id", "stratum", "gold", lb.keyword_labels(F.col("text"), taxonomy).alias("pred")).persist()
     per, total = ev.evaluate(model, taxonomy.ids, rounds=rounds)
     k_per, k_total = ev.evaluate(keywords, taxonomy.ids, rounds=rounds)
@@ -69,6 +79,19 @@ def benchmark(spark: SparkSession, worksheet: str, predictions: DataFrame, taxon
     return out
 
 
+def benchmark_record(out: dict[str, DataFrame], taxonomy) -> dict:
+    """The tables of ``benchmark`` as one record."""
+    one = lambda name: out[name].first().asDict()
+    model, keywords = one("summary"), one("keyword_summary")
+    return {
+        "n": model["n"],
+        "taxonomy_version": taxonomy.version,
+        "llm": {"micro_f1": model["micro_f1"], "macro_f1": model["macro_f1"], "ci": [model["micro_f1_low"], model["micro_f1_high"]], "per_theme": [r.asDict() for r in ev.as_rows(out["per_theme"]).collect()]},
+        "keyword_baseline": {"micro_f1": keywords["micro_f1"], "macro_f1": keywords["macro_f1"]},
+        "confusions": [[r["missed"], r["spurious"], r["n"]] for r in out["confusion"].collect()],
+    }
+
+
 def analyze(chunks: DataFrame, predictions: DataFrame, points: DataFrame, study, taxonomy, theme: str) -> dict[str, DataFrame]:
     """Panel, first mentions and the line-up with revenue growth. The panel is persisted: it is small and all else reads it."""
     spark = chunks.sparkSession

@@ -64,8 +64,7 @@ def _labels(chunks: DataFrame) -> DataFrame:
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunk_rows(spark, sf_dir)
-    # the labels of a chunk are a projection of it: the operator's join on chunk_id is only for labels kept elsewhere
-    return pn.build_panel(c, _labels(c), STUDY.table(spark), TAXONOMY.table(spark))
+    return pn.build_panel(c.withColumn("labels", tx.keyword_labels(F.col("text"), TAXONOMY)), None, STUDY.table(spark), TAXONOMY.table(spark))
 
 
 def keyword_labels(spark, sf_dir):
@@ -195,14 +194,14 @@ def cohens_kappa(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    return ev.bootstrap(_scored(spark, sf_dir), SCORED_THEMES, rounds=40).select(F.coalesce("theme", F.lit("micro")).alias("theme"), "f1_low", "f1_high")
+    return ev.bootstrap(_scored(spark, sf_dir), SCORED_THEMES).select(F.coalesce("theme", F.lit("micro")).alias("theme"), "f1_low", "f1_high")
 
 
 def stratified_sample(spark, sf_dir):
     from ..config import with_cohort
 
     c = with_cohort(chunk_rows(spark, sf_dir), STUDY.table(spark))
-    return gs.stratified_sample(c, TAXONOMY, target_n=120).select("chunk_id", "cohort", "fiscal_year", "item", "stratum", F.array_join("baseline_labels", "|").alias("baseline_labels"))
+    return gs.stratified_sample(c, TAXONOMY).select("chunk_id", "cohort", "fiscal_year", "item", "stratum", F.array_join("baseline_labels", "|").alias("baseline_labels"))
 
 
 def label_disagreements(spark, sf_dir):
@@ -234,7 +233,7 @@ def quotes_topk(spark, sf_dir):
 
 
 def theme_matrix(spark, sf_dir):
-    m = pn.theme_matrix(_panel(spark, sf_dir), list(range(2020, 2026)), top_themes=3)
+    m = pn.theme_matrix(_panel(spark, sf_dir), list(range(2020, 2026)))
     return m.select("ticker", "rank", "theme", *[F.col(str(y)).alias(f"fy{y}") for y in range(2020, 2026)])
 
 
@@ -344,14 +343,14 @@ SELECT missed, spurious, count(*) AS n FROM b GROUP BY ALL ORDER BY n DESC, miss
     "cohens_kappa": f"""WITH {_SCORED}, x AS (SELECT list_contains(gold, 'toxic') AS a, list_contains(pred, 'toxic') AS b FROM s), y AS (SELECT count(*) FILTER (a = b)::DOUBLE / count(*) AS po, count(*) FILTER (a)::DOUBLE / count(*) AS pa, count(*) FILTER (b)::DOUBLE / count(*) AS pb FROM x)
 SELECT 'toxic' AS theme, (po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) AS kappa FROM y""",
     "bootstrap_ci": f"""WITH {_SCORED}, ix AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, gold, pred FROM s), nn AS (SELECT count(*) AS n FROM s),
-dr AS (SELECT r.range AS round, ('0x' || left(md5('17|' || r.range || '|' || d.range), 8))::BIGINT % n AS i FROM range(40) r CROSS JOIN nn CROSS JOIN range((SELECT n FROM nn)) d),
+dr AS (SELECT r.range AS round, ('0x' || left(md5('17|' || r.range || '|' || d.range), 8))::BIGINT % n AS i FROM range(1000) r CROSS JOIN nn CROSS JOIN range((SELECT n FROM nn)) d),
 o AS (SELECT round, theme, list_contains(gold, theme) AS g, list_contains(pred, theme) AS p FROM dr JOIN ix USING (i) CROSS JOIN th),
 k AS (SELECT round, coalesce(theme, 'micro') AS theme, count(*) FILTER (g AND p) AS tp, count(*) FILTER (NOT g AND p) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM o GROUP BY GROUPING SETS ((round, theme), (round))),
 pr AS (SELECT round, theme, {_PRF} FROM k), f AS (SELECT round, theme, {_F1} FROM pr), rr AS (SELECT theme, f1, row_number() OVER (PARTITION BY theme ORDER BY f1, round) - 1 AS q FROM f)
-SELECT theme, max(f1) FILTER (q = 1) AS f1_low, max(f1) FILTER (q = 39) AS f1_high FROM rr GROUP BY theme""",
+SELECT theme, max(f1) FILTER (q = 25) AS f1_low, max(f1) FILTER (q = 975) AS f1_high FROM rr GROUP BY theme""",
     "stratified_sample": f"""WITH {_CHUNKS}, {_PEERS}, x AS (SELECT chunk_id, cohort, fiscal_year, item, labels, len(labels) > 0 AS hit, md5('20260101|' || chunk_id) AS h FROM c JOIN peers USING (ticker)),
 t AS (SELECT *, row_number() OVER (PARTITION BY hit, cohort, fiscal_year, item ORDER BY h, chunk_id) AS rn FROM x), q AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY rn, cohort, fiscal_year, item) AS k FROM t),
-e AS (SELECT * FROM q WHERE hit AND k <= 60), p AS (SELECT * FROM q WHERE NOT hit AND k <= 120 - (SELECT count(*) FROM e))
+e AS (SELECT * FROM q WHERE hit AND k <= 200), p AS (SELECT * FROM q WHERE NOT hit AND k <= 400 - (SELECT count(*) FROM e))
 SELECT chunk_id, cohort, fiscal_year, item, CASE WHEN hit THEN 'enriched' ELSE 'random' END AS stratum, array_to_string(labels, '|') AS baseline_labels FROM (SELECT * FROM e UNION ALL SELECT * FROM p)""",
     "label_disagreements": f"WITH {_CHUNKS}, p AS (SELECT chunk_id, array_to_string(labels, '|') AS keyword_labels, CASE WHEN length(text) % 2 = 0 THEN 'object' ELSE '' END AS labels FROM c) SELECT * FROM p WHERE keyword_labels <> labels",
     "label_cache": "WITH k AS (SELECT doc_id, left(sha256('m|1|' || text), 32) AS key FROM documents) SELECT doc_id::VARCHAR AS chunk_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 3 = 0)",
@@ -359,7 +358,7 @@ SELECT chunk_id, cohort, fiscal_year, item, CASE WHEN hit THEN 'enriched' ELSE '
 SELECT w.conv_id, w.index::INT AS index, coalesce('l' || length(text), '') AS labels, coalesce(CASE WHEN turn = 1 THEN '' ELSE role END, '') AS rationale FROM w LEFT JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.index""",
     "quotes_topk": f"""WITH {_CHUNKS}, q AS (SELECT ticker, fiscal_year, chunk_id, text, unnest(labels) AS theme, generate_subscripts(labels, 1) AS p FROM c WHERE is_new), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, chunk_id, p) AS rn FROM q)
 SELECT ticker, theme, fiscal_year, rn::INT AS rn, md5(CASE WHEN length(text) <= 400 THEN text ELSE left(text, 397) || '...' END) AS excerpt_md5 FROM r WHERE rn <= 5""",
-    "theme_matrix": f"""WITH {_PANEL}, t AS (SELECT ticker, theme, ord, sum(mentions) AS m FROM panel GROUP BY ALL), b AS (SELECT ticker, theme, row_number() OVER (PARTITION BY ticker ORDER BY m DESC, ord) AS rank FROM t QUALIFY rank <= 3)
+    "theme_matrix": f"""WITH {_PANEL}, t AS (SELECT ticker, theme, ord, sum(mentions) AS m FROM panel GROUP BY ALL), b AS (SELECT ticker, theme, row_number() OVER (PARTITION BY ticker ORDER BY m DESC, ord) AS rank FROM t QUALIFY rank <= 6)
 SELECT p.ticker, rank::INT AS rank, p.theme, """
     + ", ".join(f"max(printf('%.3f', salience) || CASE WHEN new_mentions > 0 THEN '*' ELSE '' END) FILTER (fiscal_year = {y}) AS fy{y}" for y in range(2020, 2026))
     + " FROM panel p JOIN b USING (ticker, theme) GROUP BY p.ticker, rank, p.theme",
