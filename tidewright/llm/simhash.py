@@ -137,6 +137,8 @@ def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Members of a list that a task compares with others at once.
+LIST_PART = 256
 #: Members of a large list that all others are compared with before pairs.
 PIVOTS = 4
 #: Texts that the order of shingles is learnt from (an expectation), and shingles in that order, most frequent last.
@@ -280,10 +282,10 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     member = materialize(join_keyed(listed, sizes, ["k"], "of", listed.count()))
     release(shared, listed, sizes)
 
-    def paired(x: DataFrame, y: DataFrame) -> DataFrame:
+    def paired(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("k",)) -> DataFrame:
         """Pairs of a list that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
-        one, two = (z.select("k", *[F.col(c).alias(f"{c}_{side}") for c in z.columns if c != "k"]) for z, side in ((x, "a"), (y, "b")))
-        return fits(one.join(two, "k"))
+        one, two = (z.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in z.columns if c not in keys]) for z, side in ((x, "a"), (y, "b")))
+        return fits(one.join(two, list(keys)))
 
     def fits(both: DataFrame) -> DataFrame:
         return both.where((F.col("fp_a") != F.col("fp_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
@@ -302,10 +304,15 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
         # what the pivots left apart: every pair of a list that lies in two components has a member outside the list's largest one
         placed = large.join(roots, F.col("fp") == F.col("node"), "left").select(*base, F.coalesce("root", "fp").alias("root"))
         shares = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"))
-        most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        split = materialize(placed.join(most.select("k", "most"), "k").join(nodes.select("fp", "m"), "fp"))
+        most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("of").alias("members")).where("parts > 1")
+        most = materialize(most.select("k", "most", "members", F.ceil(F.col("members") / LIST_PART).cast("int").alias("dealt")))
+        split = materialize(join_keyed(placed, most, ["k"], "members", large.count()).join(nodes.select("fp", "m"), "fp"))
+        release(most)
+        # the members of a list are dealt in parts, and those outside its largest component meet each part
+        odd = split.where("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
+        every = split.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("dealt")).cast("int"))
         close = (up + down) * _map_distance(F.col("m_a"), F.col("m_b")) <= (down - up) * (F.col("n_a") + F.col("n_b"))
-        apart = materialize(ordered(paired(split.where("root <> most").select(*base, "root", "m"), split.select(*base, "root", "m")).where(F.col("root_a") != F.col("root_b")).where(close)))
+        apart = materialize(ordered(paired(*(z.select("part", *base, "root", "m") for z in (odd, every)), keys=("k", "part")).where(F.col("root_a") != F.col("root_b")).where(close)))
         more = _verified(apart, nodes, texts, shingle, least)
         whole = components(links.unionByName(more))
         release(roots, split, apart, more)
