@@ -116,6 +116,50 @@ def test_discriminant_is_the_gaussian_formula(spark):
     assert np.allclose(m.scores(x), 1 / (1 + np.exp(log[0] - log[1])))
 
 
+def brute_statistics(text):
+    """The fourteen statistics, from their definitions, over the UTF-8 bytes of a text."""
+    t = (text or "").encode()
+    words = t.split()
+    n = len(words)
+    if not n:
+        return [0.0] * 14
+    chars = len(t) - n + 1
+    share = lambda pick: math.sqrt(sum(c in pick for c in t) / chars)
+    lines = [x for x in t.split(b"\n") if x.strip()]
+    ends = sum(c in b".!?" for c in t)
+    top = Counter(words).most_common(1)[0][1]
+    pairs = [(words[i], words[i + 1]) for i in range(n - 1)]
+    return [
+        math.log(1 + n), math.log(1 + sum(len(w) for w in words) / n), share(b"#*$%&|<>~^=+_{}[]\\/@"), share(b"!"), share(bytes(range(65, 91))), share(b"0123456789"), share(b",;:"),
+        math.log(1 + n / (ends + 1)), math.log(len(set(words)) / n) / (1 + math.log(n)), math.sqrt(1 - len(set(lines)) / len(lines)), math.sqrt(top / n),
+        math.sqrt(1 - len(set(pairs)) / max(1, n - 1)) if n > 1 else 0.0, math.log(1 + n / len(lines)), math.sqrt(sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines)),
+    ]
+
+
+def test_quality_query_is_brute_force(spark, docs):
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x = {i: np.array(brute_statistics(t)) for i, t in texts.items()}
+    marks = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()]
+    own = [np.array([x[i] for i, y in marks if y == k and not held(i) and i in x]) for k in (0, 1)]
+    total, d = sum(map(len, own)), 14
+    cov = [np.cov(a.T, bias=True) for a in own]
+    pooled = sum(len(a) * c for a, c in zip(own, cov, strict=True)) / total
+    ids, log = sorted(x), []
+    for a, c in zip(own, cov, strict=True):
+        c = 0.9 * c + 0.1 * pooled
+        c = 0.98 * c + 0.02 * np.trace(c) / d * np.eye(d)
+        z = np.array([x[i] for i in ids]) - a.mean(0)
+        log.append(np.log(len(a) / total) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(c), z))
+    want = dict(zip(ids, 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700))), strict=True))
+    rows = q.op2_quality(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["held_out"] == held(r["doc_id"]) and abs(r["score"] - want[r["doc_id"]]) < 1e-6 and r["predicted"] == (r["score"] >= 0.7)
+
+
 V = sg.vocabulary(sg.DEFAULT_MODEL, 2e-4)
 LAT = sg.Lattices(V)
 

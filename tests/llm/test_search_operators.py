@@ -316,6 +316,28 @@ def test_shards_are_even(spark, docs, edge, none):
     assert len(got) == 8 and sum(r["size"] for r in got if r["doc_id"] in (1, 2)) == 2 and sh.assign_shards(none).count() == 0
 
 
+def test_shards_query_follows_its_law_by_brute_force(spark, docs):
+    import zlib
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = q.op7_shards(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    shards = {k: [r for r in rows if r["shard"] == k] for k in range(16)}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    for own in shards.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    # near equal: no shard is farther from an even share than the largest record and one range
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in own) - total / 16) <= largest + total / (16 * 8) for own in shards.values())
+    # equal texts are together unless they are more than a range by themselves
+    for text in set(texts.values()):
+        same = [r for r in rows if texts[r["doc_id"]] == text]
+        if sum(r["size"] for r in same) < total / (16 * 32):
+            assert len({r["shard"] for r in same}) <= 2
+
+
 def test_hot_texts_are_divided(spark):
     d = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text for a third of all rows").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
     rows = sh.assign_shards(d).collect()
