@@ -6,6 +6,8 @@ the item. Every query reads whole tables.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,6 +219,26 @@ def label_cache(spark, sf_dir):
     return c.join(held, "key", "left_anti").select("chunk_id", "key")
 
 
+def _model(texts: list[str]) -> str:
+    """Stands for a model: its answer as text, around the JSON that is asked for."""
+    return "Labels: " + json.dumps([{"index": i, "labels": ["object", "no theme"] if "thing" in t else []} for i, t in enumerate(texts)])
+
+
+def classify_chunks(spark, sf_dir):
+    """Labels of all chunks: those of every third one from a cache, the others from a model."""
+    c = chunk_rows(spark, sf_dir)
+    held = c.where(F.col("ordinal") % 3 == 0).select(tx.cache_key(F.col("text"), TAXONOMY.version, "m").alias("key"), F.array(F.lit("able")).alias("labels"), F.lit("").alias("rationale"))
+    return lb.classify(c, TAXONOMY, _model, model_name="m", cache=held)[0].select("chunk_id", F.array_join("labels", "|").alias("labels"), "model")
+
+
+def yearly_series(spark, sf_dir):
+    """The last order of a customer's year stands for the latest period."""
+    o = _table(spark, sf_dir, "orders")
+    end = F.concat_ws("-", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    points = o.select(F.col("o_custkey").cast("string").alias("ticker"), F.lit("revenue").alias("metric"), F.year("o_orderdate").alias("fiscal_year"), end.alias("period_end"), F.col("o_totalprice").alias("value"))
+    return fl.yearly_series(points).select("ticker", "fiscal_year", "value")
+
+
 def parse_response(spark, sf_dir):
     """Responses made of conversations: the object of turn 1 has no index, turn 2 has two objects."""
     t = _table(spark, sf_dir, "conversations").where(F.col("turn").isNotNull())
@@ -241,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_labels, text_hash, theme_panel, first_mention, first_mention_min3, adoption_curve, escalation_topk, escalation_new_language, novelty, chunk_paragraphs, html_flatten, section_longest, missing_sections,
-        list_filings, point_in_time, first_available, cagr_join, evaluate_themes, evaluate_summary, confusion_pairs, cohens_kappa, bootstrap_ci, stratified_sample, label_disagreements, label_cache, parse_response, quotes_topk, theme_matrix,
+        list_filings, point_in_time, first_available, cagr_join, evaluate_themes, evaluate_summary, confusion_pairs, cohens_kappa, bootstrap_ci, stratified_sample, label_disagreements, classify_chunks, yearly_series, label_cache, parse_response, quotes_topk, theme_matrix,
     )
 }
 
@@ -300,6 +322,10 @@ _F1 = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision
 _COUNTS = f"""{_SCORED}, k AS (SELECT theme, count(*) FILTER (list_contains(gold, theme)) AS support, count(*) FILTER (list_contains(gold, theme) AND list_contains(pred, theme)) AS tp, count(*) FILTER (NOT list_contains(gold, theme) AND list_contains(pred, theme)) AS fp,
 count(*) FILTER (list_contains(gold, theme) AND NOT list_contains(pred, theme)) AS fn FROM s CROSS JOIN th GROUP BY theme), pr AS (SELECT *, {_PRF} FROM k), f1 AS (SELECT *, {_F1} FROM pr)"""
 
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+#: What follows the last chr(1) of a.
+_HELD = "string_split(a, chr(1))[-1]"
+
 ORACLE_SQL = {
     "keyword_labels": f"SELECT doc_id, array_to_string({_LABELS}, '|') AS labels FROM documents",
     "text_hash": f"SELECT doc_id, left(sha256({_NORM}), 16) AS text_hash FROM documents",
@@ -312,6 +338,19 @@ SELECT y.fiscal_year, """
     + " FROM y LEFT JOIN r USING (fiscal_year) GROUP BY y.fiscal_year",
     "escalation_topk": _escalation_sql("salience"),
     "escalation_new_language": _escalation_sql("new_salience"),
+    "chunk_paragraphs": f"""WITH l AS (
+    SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS lines FROM documents),
+-- a fold over texts: what is finished ends with chr(1), what is held follows
+m AS (SELECT doc_id, source, string_split(list_reduce(list_prepend('', lines), lambda a, x: a || CASE WHEN {_HELD} = '' THEN '' ELSE ' ' END || x
+    || CASE WHEN length({_HELD}) + CASE WHEN {_HELD} = '' THEN 0 ELSE 1 END + length(x) >= {ch.MIN_CHUNK_CHARS} THEN chr(1) ELSE '' END), chr(1)) AS parts FROM l),
+p AS (SELECT doc_id, source, unnest(CASE WHEN parts[-1] = '' THEN parts[:-2] WHEN len(parts) = 1 THEN parts
+    ELSE list_append(parts[:-3], parts[-2] || ' ' || parts[-1]) END) AS para, unnest(range(len(parts))) AS i FROM m),
+w AS (SELECT doc_id, source, i, CASE WHEN length(para) <= {ch.MAX_CHUNK_CHARS} THEN [para] ELSE string_split(list_reduce(
+    list_prepend('', string_split(regexp_replace(para, '([.?!])\\s+([A-Z(])', '\\1' || chr(2) || '\\2', 'g'), chr(2))),
+    lambda a, x: CASE WHEN {_HELD} <> '' AND length({_HELD}) + length(x) + 1 > {ch.MAX_CHUNK_CHARS} THEN a || chr(1) || x WHEN {_HELD} = '' THEN a || x ELSE a || ' ' || x END), chr(1)) END AS pieces FROM p WHERE para IS NOT NULL),
+k AS (SELECT doc_id, source, i, unnest(pieces) AS text, unnest(range(len(pieces))) AS j FROM w),
+o AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS ordinal FROM k WHERE length(text) >= {ch.MIN_CHUNK_CHARS})
+SELECT source || '-2020-' || doc_id || '-' || printf('%04d', ordinal) AS chunk_id, ordinal::INT AS ordinal, length(text)::INT AS n_chars, left(sha256({_NORM}), 16) AS text_hash FROM o""",
     "novelty": f"""WITH {_CHUNKS}, n AS (SELECT *, {_NORM} AS norm FROM c), w AS (SELECT *, list_filter(string_split(norm, ' '), lambda x: x <> '') AS words FROM n),
 s AS (SELECT chunk_id, doc_id, ticker, fiscal_year, item, norm, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i : i + 4], ' '))) END AS sh FROM w),
 rk AS (SELECT ticker, fiscal_year, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year) AS r FROM (SELECT DISTINCT ticker, fiscal_year FROM c)),
@@ -354,6 +393,10 @@ e AS (SELECT * FROM q WHERE hit AND k <= 200), p AS (SELECT * FROM q WHERE NOT h
 SELECT chunk_id, cohort, fiscal_year, item, CASE WHEN hit THEN 'enriched' ELSE 'random' END AS stratum, array_to_string(labels, '|') AS baseline_labels FROM (SELECT * FROM e UNION ALL SELECT * FROM p)""",
     "label_disagreements": f"WITH {_CHUNKS}, p AS (SELECT chunk_id, array_to_string(labels, '|') AS keyword_labels, CASE WHEN length(text) % 2 = 0 THEN 'object' ELSE '' END AS labels FROM c) SELECT * FROM p WHERE keyword_labels <> labels",
     "label_cache": "WITH k AS (SELECT doc_id, left(sha256('m|1|' || text), 32) AS key FROM documents) SELECT doc_id::VARCHAR AS chunk_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 3 = 0)",
+    "classify_chunks": """WITH k AS (SELECT doc_id, text, left(sha256('m|1|' || text), 32) AS key FROM documents), h AS (SELECT DISTINCT key FROM k WHERE doc_id % 3 = 0)
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN h.key IS NOT NULL THEN 'able' WHEN contains(text, 'thing') THEN 'object' ELSE '' END AS labels, 'm' AS model FROM k LEFT JOIN h USING (key)""",
+    "yearly_series": """SELECT o_custkey::VARCHAR AS ticker, year(o_orderdate)::INT AS fiscal_year, arg_max(o_totalprice, strftime(o_orderdate, '%Y-%m-%d') || '-' || lpad(o_orderkey::VARCHAR, 12, '0')) AS value
+FROM orders GROUP BY 1, 2""",
     "parse_response": """WITH g AS (SELECT conv_id, count(*) AS n FROM conversations WHERE turn IS NOT NULL GROUP BY conv_id), w AS (SELECT conv_id, unnest(range(n)) AS index FROM g)
 SELECT w.conv_id, w.index::INT AS index, coalesce('l' || length(text), '') AS labels, coalesce(CASE WHEN turn = 1 THEN '' ELSE role END, '') AS rationale FROM w LEFT JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.index""",
     "quotes_topk": f"""WITH {_CHUNKS}, q AS (SELECT ticker, fiscal_year, chunk_id, text, unnest(labels) AS theme, generate_subscripts(labels, 1) AS p FROM c WHERE is_new), r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY fiscal_year DESC, chunk_id, p) AS rn FROM q)
