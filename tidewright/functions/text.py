@@ -56,17 +56,19 @@ def text_hash(c: Column) -> Column:
     return F.substring(F.sha2(normalise(c), 256), 1, HASH_CHARS)
 
 
-def with_shingles(df: DataFrame, text_col: str, out: str, size: int = SHINGLE_WORDS) -> DataFrame:
+def with_shingles(df: DataFrame, text_col: str, out: str, size: int = SHINGLE_WORDS, *, hashed: bool = False) -> DataFrame:
     """df with ``out``, the distinct word shingles of the normalised text: all words as one if there are
-    fewer than ``size``, none if there are none. The words are a column of their own, as a lambda
-    would otherwise find them anew for each shingle."""
+    fewer than ``size``, none if there are none. With ``hashed``, a 64-bit hash of the words stands for each.
+    The words are a column of their own, as a lambda would otherwise find them anew for each shingle."""
     words = F.filter(F.split(normalise(F.col(text_col)), " "), lambda w: w != "")
     split = df.withColumn("tw_words", words)
     w = F.col("tw_words")
     # words side by side, so that the lambda sees nothing but its own element
     rows = F.arrays_zip(*[F.slice(w, i + 1, 1 << 30).alias(f"w{i}") for i in range(size)])
-    runs = F.transform(F.slice(rows, 1, F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(size)]))
-    return split.withColumn(out, F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))).drop("tw_words")
+    one = F.xxhash64 if hashed else lambda *words: F.concat_ws(" ", *words)  # both pass over the nulls of a short text
+    runs = F.transform(F.slice(rows, 1, F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda z: one(*[z[f"w{i}"] for i in range(size)]))
+    none = F.array().cast("array<bigint>" if hashed else "array<string>")
+    return split.withColumn(out, F.when(F.size(w) == 0, none).otherwise(F.array_distinct(runs))).drop("tw_words")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -47,7 +47,7 @@ def mark_novelty(chunks: DataFrame, *, threshold: float = THRESHOLD, unique_year
     carried = base.join(hashes.withColumn("seen", F.lit(True)), ["ticker", "rank", "text_hash"], "left")
     rest = carried.where("seen IS NULL")
     # 64-bit hashes stand for shingles: pairs are only made within one filing's item, where equal hashes of different shingles don't occur in practice
-    sets = lambda df: with_shingles(df, "text", "s").withColumn("n", F.size("s")).withColumn("s", F.transform("s", lambda x: F.xxhash64(x)))
+    sets = lambda df: with_shingles(df, "text", "s", hashed=True).withColumn("n", F.size("s"))
     mine = sets(rest).select("chunk_id", "filing_accession", "ticker", "rank", "item", "n", F.explode_outer("s").alias("shingle"))
     prior = sets(base).select("ticker", (F.col("rank") + 1).alias("rank"), "item", F.col("ordinal").alias("p_ordinal"), F.col("n").alias("p_n"), F.explode_outer("s").alias("shingle"))
     # outer, as a plain explode is given a filter on the array's size that finds shingles a second time, word by word
