@@ -252,6 +252,19 @@ def test_documents_of_one_template_stay(spark):
     assert sorted(r["doc_id"] for r in si.drop_near_duplicates(d).collect()) == list(range(40))
 
 
+def test_stage_links_by_fingerprints_first(spark, monkeypatch):
+    rng, seen, asked = random.Random(4), [], []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = {i: " ".join([*base[: 40 * i], f"x{i}", *base[40 * i + 1 :]]) for i in range(48)}  # one word changed: a few bits, if any
+    pairs, verified = si.near_pairs, si._verified
+    monkeypatch.setattr(si, "near_pairs", lambda fps, **how: seen.append({r["fp"] for r in fps.collect()}) or pairs(fps, **how))
+    monkeypatch.setattr(si, "_verified", lambda p, *rest: asked.append(p.count()) or verified(p, *rest))
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r["doc_id"] for r in si.drop_near_duplicates(d).collect()] == [0]
+    assert seen == [{si._signed(brute_fp(t, 3)) for t in texts.values()}]
+    assert sum(asked) <= 2 * si.PIVOTS * len(texts)  # in proportion to the group, not to its square
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(9, base), (3, base.upper()), (7, base + "  "), (4, "quite another text " * 3), (None, base)]

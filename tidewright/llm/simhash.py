@@ -137,12 +137,16 @@ def _grouped(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The fingerprints that documents are linked by first: words of a shingle, bits that may differ, blocks.
+PRINT_SHINGLE, PRINT_DISTANCE, PRINT_BLOCKS = 3, 2, 4
 #: Members of a list that a task compares with others at once.
 LIST_PART = 256
-#: Members of a large list that all others are compared with before pairs.
+#: Members of a large list that all others are compared with in a turn, and pairs that a turn verifies for a node.
 PIVOTS = 4
+#: Turns with pivots at most, and comparisons a member that are few enough for all pairs.
+TURNS, FEW_PAIRS = 6, 16
 #: Texts that the order of shingles is learnt from (an expectation), and shingles in that order, most frequent last.
-ORDER_TEXTS, ORDER_SHINGLES = 8192, 1 << 16
+ORDER_TEXTS, ORDER_SHINGLES = 65536, 1 << 18
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -169,10 +173,10 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         return lambda ts: [_long_lists([shingle_set(t, shingle) for t in raw(ts)])]
 
     seen = map_arrow(part, [F.col("t")], [], [("s", T.ArrayType(T.LongType()))], make).select(F.explode("s").alias("k"))
-    top = seen.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(ORDER_SHINGLES).collect()
-    keys = np.array([r["k"] for r in top], dtype=np.int64).view(np.uint64)
+    top = seen.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(ORDER_SHINGLES).toArrow()
+    keys = top["k"].to_numpy().view(np.uint64)
     at = np.argsort(keys)
-    return keys[at], np.array([r["n"] for r in top], dtype=np.int64)[at]
+    return keys[at], top["n"].to_numpy()[at]
 
 
 def parity_map(found: np.ndarray) -> np.ndarray:
@@ -246,6 +250,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return good
 
 
+def _few(pairs: DataFrame, turn: int) -> DataFrame:
+    """At most PIVOTS of the pairs of each a, the same b for many."""
+    picked = pairs.groupBy("a").agg(F.array_distinct(F.array(*[F.min_by("b", F.xxhash64("b", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)])).alias("b"))
+    return picked.select("a", F.explode("b").alias("b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _print_pairs(nodes: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """Pairs of nodes by their fingerprints (column print), at most PIVOTS for each: nodes of one fingerprint with the smallest
+    of them, and those of fingerprints within the distance."""
+    first = materialize(nodes.groupBy("print").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("of")))
+    near = materialize(_few(near_pairs(first.select(F.col("print").alias("fp")), max_distance=max_distance, blocks=blocks), 0))
+    hot, values = _hot_sides(near), first.select(F.col("print").alias("fp"), "v")
+    apart = _attach(_attach(near, values, "a", hot["a"]), values, "b", hot["b"]).select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    same = join_keyed(nodes.select("print", F.col("fp").alias("a")), first.where("of > 1").select("print", F.col("v").alias("b"), "of"), ["print"], "of", nodes.count())
+    out = materialize(_ordered(apart.unionByName(same.where("a <> b").select("a", "b"))))
+    release(first, near)
+    return out
+
+
 def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similarity: float, bucket_pairs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id: the key, fp), nodes (fp, low: smallest key) and the root of each node that has a link."""
     least = Fraction(str(similarity))
@@ -256,68 +283,99 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
 
     def make():
         def step(ts):
-            found = [shingle_set(t, shingle) for t in raw(ts)]
+            whole = raw(ts)
+            found = [shingle_set(t, shingle) for t in whole]
+            prints = np.array([fingerprint(t, PRINT_SHINGLE) for t in whole], dtype=np.uint64)
             heads = []
             for x in found:
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
                 heads.append(x[: len(x) + 1 + -len(x) * up // down])  # all but ceil(similarity * n) - 1
-            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), _long_lists(heads), _long_lists([parity_map(x).view(np.uint64) for x in found])]
+            maps = _long_lists([parity_map(x).view(np.uint64) for x in found])
+            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prints.view(np.int64)), _long_lists(heads), maps]
 
         return step
 
     longs = T.ArrayType(T.LongType())
-    mapped = map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("p", longs), ("m", longs)], make)
+    mapped = map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("print", T.LongType()), ("p", longs), ("m", longs)], make)
     marked = materialize(mapped.withColumn("row", F.monotonically_increasing_id()))
     # texts with the same set are one node; its prefix is that of one of its rows
-    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("row", "h", "n", "m")).alias("one"), F.count(F.lit(1)).alias("many")).select("fp", "low", "one.*", "many"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("row", "h", "n", "print", "m")).alias("one"), F.count(F.lit(1)).alias("many")).select("fp", "low", "one.*", "many"))
+    near = _print_pairs(nodes, PRINT_DISTANCE, PRINT_BLOCKS)
+    links = _verified(near, nodes, texts, shingle, least)
+    roots = components(links)
+    release(near, links)
+
     shared = marked.select(F.explode("p").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = materialize(shared)  # rows, copies too: what a list has at most
-    posted = marked.join(nodes.select("row"), "row", "left_semi").select("fp", "n", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"))
+    placed = nodes.select("row", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
+    posted = marked.join(placed, "row").select("fp", "n", "root", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"), "root")
     total = marked.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]
     listed = materialize(join_keyed(posted, shared, ["k"], "rows", total))
     many = F.count(F.lit(1))
-    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("k", "fp", F.lit(i))) for i in range(PIVOTS)])).alias("pivots")).where("many > 1"))
+    # a list that the fingerprints have joined has no link to find
+    sizes = materialize(listed.groupBy("k").agg(many.alias("many"), many.alias("of"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").drop("r", "s"))
     member = materialize(join_keyed(listed, sizes, ["k"], "of", listed.count()))
     release(shared, listed, sizes)
 
     def paired(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("k",)) -> DataFrame:
-        """Pairs of a list that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
+        """Pairs of a list in two components that may be similar by their sizes, and by what follows if this shingle is the first that they share."""
         one, two = (z.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in z.columns if c not in keys]) for z, side in ((x, "a"), (y, "b")))
         return fits(one.join(two, list(keys)))
 
     def fits(both: DataFrame) -> DataFrame:
-        return both.where((F.col("fp_a") != F.col("fp_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
-
-    ordered = lambda z: z.select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).distinct()
-    base = ["k", "fp", "n", "rest"]
+        return both.where((F.col("root_a") != F.col("root_b")) & ((up + down) * F.least("rest_a", "rest_b") >= up * (F.col("n_a") + F.col("n_b"))))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The roots, with the links among the pairs."""
+        pairs = materialize(pairs)
+        if pairs.isEmpty():
+            release(pairs)
+            return roots
+        more = _verified(pairs, nodes, texts, shingle, least)
+        whole = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        release(pairs, more, roots)
+        return whole
+
+    base = ["k", "fp", "n", "rest", "root"]
     small, large = member.where(F.col("many") <= bucket_pairs).select(*base), member.where(F.col("many") > bucket_pairs)
-    # the pivots of a list go to its members, in however many tasks they are
-    pivots = large.where(F.array_contains("pivots", F.col("fp"))).select("k", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), "many")
-    star = fits(join_keyed(large.select("k", F.col("fp").alias("fp_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")), pivots, ["k"], "many", member.count()))
-    asked = materialize(ordered(paired(small, small).where("fp_a > fp_b").select("fp_a", "fp_b").unionByName(star.select("fp_a", "fp_b"))))
-    links = _verified(asked, nodes, texts, shingle, least)
-    release(asked)
-    roots = components(links)
-    if not large.isEmpty():
-        # what the pivots left apart: every pair of a list that lies in two components has a member outside the list's largest one
-        placed = large.join(roots, F.col("fp") == F.col("node"), "left").select(*base, F.coalesce("root", "fp").alias("root"))
+    asked = paired(small, small).where("fp_a > fp_b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    # the large lists by node: a node's root is looked up once, not in each of its lists
+    packs = materialize(large.groupBy("fp", "n").agg(F.collect_list(F.struct("k", "rest")).alias("lists")))
+    before = None
+    for turn in range(TURNS + 1):
+        placed = packs.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.explode("lists").alias("e"))
+        placed = materialize(placed.select("e.k", "fp", "n", "e.rest", "root"))
+        picks = [F.min_by("fp", F.xxhash64("fp", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)]
         shares = placed.groupBy("k", "root").agg(F.count(F.lit(1)).alias("of"))
-        most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("of").alias("members")).where("parts > 1")
-        most = materialize(most.select("k", "most", "members", F.ceil(F.col("members") / LIST_PART).cast("int").alias("dealt")))
-        split = materialize(join_keyed(placed, most, ["k"], "members", large.count()).join(nodes.select("fp", "m"), "fp"))
-        release(most)
+        most = shares.groupBy("k").agg(F.max_by("root", F.struct("of", "root")).alias("most"), F.max("of").alias("in_most"), F.count(F.lit(1)).alias("parts"), F.sum("of").alias("members")).where("parts > 1")
+        open_lists = materialize(most.select("k", "most", "members", F.col("members").alias("of"), ((F.col("members") - F.col("in_most")) * F.col("members")).alias("pairs")))
+        left, members = open_lists.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("members"), F.lit(0))).first()
+        split = materialize(join_keyed(placed, open_lists.drop("pairs"), ["k"], "of", placed.count()))
+        release(placed, open_lists)
+        if turn and (turn == TURNS or left <= FEW_PAIRS * members or (turn > 1 and 4 * left > 3 * before)):
+            break
+        before = left
+        # in a turn members meet pivots, mostly the same ones in all lists of a group, in however many tasks they are
+        pivots = materialize(split.groupBy("k").agg(F.array_distinct(F.array(*picks)).alias("pivots"), F.count(F.lit(1)).alias("of")))
+        chosen = join_keyed(split, pivots, ["k"], "of", members).where(F.array_contains("pivots", F.col("fp")))
+        ends = lambda z, side, *more: z.select("k", *[F.col(c).alias(f"{c}_{side}") for c in base[1:]], *more)
+        star = fits(join_keyed(ends(split, "a"), ends(chosen, "b", "members"), ["k"], "members", members))
+        star = _few(star.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), turn)
+        roots = linked(_ordered(star if turn else asked.unionByName(star)))  # the first turn takes the small lists too
+        release(split, pivots)
+    if left:
+        # what the pivots left apart: every pair of a list that lies in two components has a member outside the list's largest one;
         # the members of a list are dealt in parts, and those outside its largest component meet each part
-        odd = split.where("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
-        every = split.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("dealt")).cast("int"))
+        whole = materialize(split.withColumn("dealt", F.ceil(F.col("members") / LIST_PART).cast("int")).join(nodes.select("fp", "m"), "fp"))
+        odd = whole.where("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("dealt") - 1)))
+        every = whole.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("dealt")).cast("int"))
         close = (up + down) * _map_distance(F.col("m_a"), F.col("m_b")) <= (down - up) * (F.col("n_a") + F.col("n_b"))
-        apart = materialize(ordered(paired(*(z.select("part", *base, "root", "m") for z in (odd, every)), keys=("k", "part")).where(F.col("root_a") != F.col("root_b")).where(close)))
-        more = _verified(apart, nodes, texts, shingle, least)
-        whole = components(links.unionByName(more))
-        release(roots, split, apart, more)
-        roots = whole
-    release(member, links)
+        apart = paired(*(z.select("part", *base, "m") for z in (odd, every)), keys=("k", "part")).where(close)
+        roots = linked(_ordered(apart.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))))
+        release(whole)
+    release(member, split, packs)
     return marked, nodes, roots
 
 
