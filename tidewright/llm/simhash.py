@@ -386,7 +386,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
 
     Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
-    full. In larger ones each is first compared with ``PIVOTS`` members, others for each list; then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
+    full, unless fingerprints have joined them. Members of larger ones are compared with ``PIVOTS`` members in turns; then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
     its pivots, which keeps its lists nearly linear; a large list of documents that are not similar takes pairs by the square.
     """
     marked, nodes, roots = _similar(docs, col(id_col), text_col, shingle, similarity, bucket_pairs)
