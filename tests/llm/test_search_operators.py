@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -265,6 +267,31 @@ def test_stage_links_by_fingerprints_first(spark, monkeypatch):
     assert sum(asked) <= 2 * si.PIVOTS * len(texts)  # in proportion to the group, not to its square
 
 
+def test_lists_hold_sets_of_like_sizes(spark):
+    rng, least = random.Random(8), Fraction(4, 5)
+    edges = si.size_edges(least)
+    for n in [*range(1, 60), 333, 5000]:  # a set and its largest and smallest similar ones are in one bin or in neighbouring ones
+        at = bisect_right(edges, n)
+        assert bisect_right(edges, n * 5 // 4) <= at + 1 and bisect_right(edges, -(-n * 4 // 5)) >= at - 1
+    for _ in range(3000):
+        common = rng.sample(range(10**6), rng.choice([1, 2, 4, 5, 8, 20, 40, 90]))
+        a, b = (np.array(sorted({*common, *rng.sample(range(10**6), rng.randrange(len(common) // 3 + 1))}), dtype=np.uint64) for _ in "ab")
+        (x, own_x), (y, own_y) = si.list_keys(a, least, edges), si.list_keys(b, least, edges)
+        meet = {*x[:own_x].tolist()} & {*y.tolist()} | {*x.tolist()} & {*y[:own_y].tolist()}
+        both = len(np.intersect1d(a, b))
+        assert meet or 9 * both < 4 * (len(a) + len(b))
+        c = np.concatenate([a, np.arange(10**6, 10**6 + 2 * len(a) + 2, dtype=np.uint64)])  # three times as large, all of a in it
+        assert not {*x.tolist()} & {*si.list_keys(c, least, edges)[0].tolist()}
+
+
+def test_few_rows_beside_the_groups_are_shuffled(spark):
+    hashes = spark.range(600000).select(F.xxhash64("id").alias("h"))
+    marks = si._class_marks(hashes.limit(0).unionByName(spark.range(300000).select(F.xxhash64("id").alias("h"))))
+    held, rest = (si._of_classes(hashes, F.col("h"), marks, x) for x in (True, False))
+    assert held.join(spark.range(300000).select(F.xxhash64("id").alias("h")), "h").count() == 300000
+    assert held.count() < 315000 and held.count() + rest.count() == 600000 and held.join(rest, "h").isEmpty()
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{i}" for i in range(300))
     rows = [(9, base), (3, base.upper()), (7, base + "  "), (4, "quite another text " * 3), (None, base)]

@@ -17,8 +17,9 @@ fingerprints, which are within 2 bits of each other: a star of verified links is
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from fractions import Fraction
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,8 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     if not words:
         return np.zeros((0, 8), dtype=np.uint8)
     n = len(words) - shingle + 1
-    parts = [b" ".join(words)] if n < 1 else [b" ".join(x) for x in zip(*[words[i:] for i in range(shingle)])]
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(p, 42) for p in parts]), dtype=np.uint8).reshape(-1, 8)
+    parts = [b" ".join(words)] if n < 1 else map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, parts, repeat(42))), dtype=np.uint8).reshape(-1, 8)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -147,11 +147,42 @@ PIVOTS = 4
 TURNS, FEW_PAIRS = 6, 16
 #: Texts that the order of shingles is learnt from (an expectation), and shingles in that order, most frequent last.
 ORDER_TEXTS, ORDER_SHINGLES = 65536, 1 << 18
+#: Classes of hashes that are marked in a broadcast: many more than rows in groups, so that few rows beside those are shuffled.
+CLASS_BITS = 24
+_ODD = 0x9E3779B97F4A7C15
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingles as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(text, shingle).view(">u8").reshape(-1).astype(np.uint64))
+    """The distinct shingles as sorted 64-bit hashes: sums of the XXH64 of their words, each times an odd number of its place."""
+    words = text.lower().split()
+    size = min(shingle, len(words))
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=np.uint64)
+    out = np.zeros(len(words) - size + 1 if words else 0, dtype=np.uint64)
+    for i in range(size):
+        out += each[i : i + len(out)] * np.uint64(pow(_ODD, i + 1, 1 << 64))
+    return np.unique(out)
+
+
+def size_edges(least: Fraction) -> list[int]:
+    """The smallest sizes of bins of set sizes. Two sets of the least similarity are in one bin or in neighbouring ones."""
+    wide, edges = min(least, Fraction(4, 5)), [1]
+    while edges[-1] < 1 << 31:
+        edges.append(edges[-1] * wide.denominator // wide.numerator + 1)
+    return edges
+
+
+def list_keys(ordered: np.ndarray, least: Fraction, edges: list[int]) -> tuple[np.ndarray, int]:
+    """The lists that a set is in, and how many of them are of its own bin of sizes: a list is of a shingle and a bin. ordered:
+    the set in the common order. Of its own bin are the first shingles, all but ceil(least * n) - 1. Then follow, from the first
+    on, those of the next bin: a set of that bin is larger, so the first shingle that both have stands earlier in this set."""
+    n, up, down = len(ordered), least.numerator, least.denominator
+    if not n:
+        return ordered, 0
+    at = bisect_right(edges, n) - 1
+    own = n + 1 + -n * up // down
+    next_bin = max(0, n + 1 + -up * (n + edges[at + 1]) // (up + down))  # overlap of up / (up + down) of both sizes at least
+    marks = [np.uint64(b * _ODD % (1 << 64)) for b in (at, at + 1)]
+    return np.concatenate([ordered[:own] + marks[0], ordered[:next_bin] + marks[1]]), own
 
 
 def _set_key(found: np.ndarray) -> int:
@@ -205,10 +236,21 @@ def _attach(pairs: DataFrame, values: DataFrame, side: str, hot: DataFrame) -> D
     return dealt.join(copies, [side, "part"]).drop("part")
 
 
-def _class(h: str) -> Column:
-    """One of 2^18 classes of hashes: few enough to broadcast the ones that hold anything of interest. Rows of other
-    classes need no shuffle; where all classes hold something, nothing is saved and nothing lost."""
-    return F.shiftrightunsigned(h, 46)
+def _class_marks(hashes: DataFrame) -> DataFrame:
+    """Which of 2^CLASS_BITS classes hold a hash (column h), as words of 64 bits: at most 2^(CLASS_BITS - 6) rows, few enough to
+    broadcast. Rows of other classes need no shuffle; where all classes hold something, nothing is saved and nothing lost."""
+    c = F.shiftrightunsigned("h", 64 - CLASS_BITS)
+    bits = hashes.select(F.shiftright(c, 6).alias("tidewright word"), c.bitwiseAND(F.lit(63)).cast("int").alias("at"))
+    return bits.groupBy("tidewright word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("tidewright mask"))
+
+
+def _of_classes(rows: DataFrame, h: Column, marks: DataFrame, held: bool) -> DataFrame:
+    """The rows whose hash is in a marked class, or those whose hash is in none; they stay where they are."""
+    names = rows.columns
+    c = F.shiftrightunsigned(h, 64 - CLASS_BITS)
+    met = rows.withColumn("tidewright class", c).withColumn("tidewright word", F.shiftright("tidewright class", 6)).join(F.broadcast(marks), "tidewright word", "left")
+    bit = F.getbit(F.coalesce(col("tidewright mask"), F.lit(0).cast("long")), col("tidewright class").bitwiseAND(F.lit(63)).cast("int"))
+    return met.where(bit == int(held)).select(*[col(n) for n in names])
 
 
 def _hot_sides(pairs: DataFrame) -> dict[str, DataFrame]:
@@ -240,7 +282,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
         return step
 
     # most texts are in no pair
-    there = texts.withColumn("h", F.xxhash64("t")).withColumn("c", _class("h")).join(F.broadcast(wanted.select(_class("h").alias("c")).distinct()), "c", "left_semi").join(wanted.hint("shuffle_merge"), "h", "left_semi")
+    there = _of_classes(texts.withColumn("h", F.xxhash64("t")), F.col("h"), _class_marks(wanted), True).join(wanted.hint("shuffle_merge"), "h", "left_semi")
     made = map_arrow(there.select("t"), [F.col("t")], [], [("fp", T.LongType()), ("v", T.ArrayType(T.LongType()))], make)
     sets = materialize(made.groupBy("fp").agg(F.first("v").alias("v")))
     hot = _hot_sides(close)
@@ -280,25 +322,26 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     rows = docs.select(key.alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("t"))
     texts = rows.select("t")
     keys, counts = _frequent(texts, shingle)
+    edges = size_edges(least)
 
     def make():
         def step(ts):
             whole = raw(ts)
             found = [shingle_set(t, shingle) for t in whole]
             prints = np.array([fingerprint(t, PRINT_SHINGLE) for t in whole], dtype=np.uint64)
-            heads = []
+            lists = []
             for x in found:
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
                     x = x[np.lexsort((x, np.where(keys[at] == x, counts[at], 0)))]
-                heads.append(x[: len(x) + 1 + -len(x) * up // down])  # all but ceil(similarity * n) - 1
+                lists.append(list_keys(x, least, edges))
             maps = _long_lists([parity_map(x).view(np.uint64) for x in found])
-            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prints.view(np.int64)), _long_lists(heads), maps]
+            return [pa.array([_set_key(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(prints.view(np.int64)), _long_lists([x for x, _ in lists]), pa.array([own for _, own in lists], pa.int64()), maps]
 
         return step
 
     longs = T.ArrayType(T.LongType())
-    mapped = map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("print", T.LongType()), ("p", longs), ("m", longs)], make)
+    mapped = map_arrow(rows.withColumn("h", F.xxhash64("t")), [F.col("t")], ["id", "h"], [("fp", T.LongType()), ("n", T.LongType()), ("print", T.LongType()), ("p", longs), ("own", T.LongType()), ("m", longs)], make)
     marked = materialize(mapped.withColumn("row", F.monotonically_increasing_id()))
     # texts with the same set are one node; its prefix is that of one of its rows
     nodes = materialize(marked.groupBy("fp").agg(F.min("id").alias("low"), F.min(F.struct("row", "h", "n", "print", "m")).alias("one"), F.count(F.lit(1)).alias("many")).select("fp", "low", "one.*", "many"))
@@ -307,10 +350,12 @@ def _similar(docs: DataFrame, key: Column, text_col: str, shingle: int, similari
     roots = components(links)
     release(near, links)
 
-    shared = marked.select(F.explode("p").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = materialize(shared)  # rows, copies too: what a list has at most
+    # rows, copies too: what a list has at most; a list with no set of its own bin has pairs that meet elsewhere
+    shared = marked.select("own", F.posexplode("p").alias("i", "k")).groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("i") < F.col("own")).alias("has_own"))
+    shared = materialize(shared.where("rows > 1 AND has_own").select("k", "rows"))
     placed = nodes.select("row", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("row", F.coalesce("root", "fp").alias("root"))
-    posted = marked.join(placed, "row").select("fp", "n", "root", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - F.col("i")).alias("rest"), "root")
+    place = F.col("i") - F.when(F.col("i") < F.col("own"), 0).otherwise(F.col("own"))
+    posted = marked.join(placed, "row").select("fp", "n", "own", "root", F.posexplode("p").alias("i", "k")).select("fp", "k", "n", (F.col("n") - place).alias("rest"), "root")
     total = marked.agg(F.coalesce(F.sum(F.size("p")), F.lit(0))).first()[0]
     listed = materialize(join_keyed(posted, shared, ["k"], "rows", total))
     many = F.count(F.lit(1))
@@ -383,7 +428,8 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row for each document row, id and component_id as in ``near_duplicates``, for documents
     that are similar though not nearly equal: two link if their sets of word shingles have at least the
     similarity (common among all), counted exactly. All such pairs are candidates: if each set is sorted in one
-    order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1.
+    order, rare shingles first, two sets that are so similar share one of their first n - ceil(similarity * n) + 1. Lists of
+    sets with such a shingle are kept by bins of set sizes: texts too different in size to be similar meet in none, however large the table.
 
     Texts with the same set are one node. Lists of up to ``bucket_pairs`` nodes that share a shingle are compared in
     full, unless fingerprints have joined them. Members of larger ones are compared with ``PIVOTS`` members in turns; then all pairs of the list that are still in two components are compared, so no link that would join groups is lost. A group of near copies is mostly joined by
@@ -409,10 +455,8 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     # rows that go are of few classes of keys: those of other classes stay without a join
     keyed = lambda i, r: F.xxhash64(i, r)
     gone = marked.select(keyed(F.col("id.id"), F.col("id.row")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(chosen.select(keyed(col("tidewright id"), col("tidewright row")).alias("h"), F.lit(1).alias("stays")), "h", "left").where("stays IS NULL OR n > 1")
-    classes = materialize(gone.select(_class("h").alias("tidewright class")).distinct())
-    of_class = docs.where(has_words).withColumn("tidewright class", F.shiftrightunsigned(keyed(col(id_col), content), 46))
-    untouched = of_class.join(F.broadcast(classes), "tidewright class", "left_anti").select(*[col(c) for c in names])
-    kept = of_class.join(F.broadcast(classes), "tidewright class", "left_semi").select(*[col(c) for c in names])
+    marks = materialize(_class_marks(gone))
+    untouched, kept = (_of_classes(docs.where(has_words), keyed(col(id_col), content), marks, held) for held in (False, True))
     # equal rows: one of them stays
     again = marked.select(F.col("id.id").alias("tidewright id"), F.col("id.row").alias("tidewright row")).groupBy("tidewright id", "tidewright row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tidewright id", "tidewright row")
     if again.isEmpty():
