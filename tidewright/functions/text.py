@@ -45,10 +45,10 @@ def flatten_html(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """Lower case, numbers as 0, anything but a-z, 0-9 and blanks gone, single blanks."""
-    c = F.regexp_replace(F.lower(c), r"(?U)\b\d[\d,\.]*\b", " 0 ")
-    c = F.regexp_replace(F.regexp_replace(c, r"[^a-z0-9 ]+", " "), r" +", " ")
-    return F.trim(c)
+    """Lower case, numbers as 0, anything but a-z, 0-9 and blanks gone, single blanks.
+    The look-ahead spares a Unicode word test at every character; one pattern takes what isn't a-z or 0-9 and the blanks around it."""
+    c = F.regexp_replace(F.lower(c), r"(?U)(?=\d)\b\d[\d,\.]*\b", " 0 ")
+    return F.trim(F.regexp_replace(c, r"[^a-z0-9]+", " "))
 
 
 def text_hash(c: Column) -> Column:

@@ -1,10 +1,8 @@
 """Language that is new against the filing before.
 
 A chunk whose hash occurs anywhere in the previous filing is carried over. The others are
-compared with the previous filing's chunks of the same item: shingles are exploded
-and joined on (filing, item, shingle), so only pairs with a common shingle are ever
-made, and the Jaccard index comes from the count of common shingles and the two
-set sizes. That is exact: pairs without a common shingle score 0.
+compared with the previous filing's chunks of the same item by ``overlap``: the Jaccard index comes from the
+count of common shingles and the two set sizes. That is exact: pairs without a common shingle score 0.
 """
 
 from __future__ import annotations
@@ -12,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import with_shingles
+from .overlap import closest
 
 THRESHOLD = 0.6
 
@@ -42,22 +40,12 @@ def mark_novelty(chunks: DataFrame, *, threshold: float = THRESHOLD, unique_year
     the highest score, else 0; the flag is decided before rounding."""
     if unique_years:
         check_years(chunks)
-    base = chunks.drop("is_new_language", "similarity_to_prior").join(filing_ranks(chunks).select("ticker", "filing_accession", "rank"), ["ticker", "filing_accession"])
+    known = chunks.drop("is_new_language", "similarity_to_prior").withColumn("doc", F.xxhash64("chunk_id", "ordinal", "text"))
+    base = known.join(F.broadcast(filing_ranks(chunks).select("ticker", "filing_accession", "rank")), ["ticker", "filing_accession"])  # a row a filing
     hashes = base.select("ticker", (F.col("rank") + 1).alias("rank"), "text_hash").distinct()
     carried = base.join(hashes.withColumn("seen", F.lit(True)), ["ticker", "rank", "text_hash"], "left")
-    rest = carried.where("seen IS NULL")
-    # 64-bit hashes stand for shingles: pairs are only made within one filing's item, where equal hashes of different shingles don't occur in practice
-    sets = lambda df: with_shingles(df, "text", "s", hashed=True).withColumn("n", F.size("s"))
-    mine = sets(rest).select("chunk_id", "filing_accession", "ticker", "rank", "item", "n", F.explode_outer("s").alias("shingle"))
-    prior = sets(base).select("ticker", (F.col("rank") + 1).alias("rank"), "item", F.col("ordinal").alias("p_ordinal"), F.col("n").alias("p_n"), F.explode_outer("s").alias("shingle"))
-    # outer, as a plain explode is given a filter on the array's size that finds shingles a second time, word by word
-    mine, prior = mine.where("shingle IS NOT NULL"), prior.where("shingle IS NOT NULL")
-    common = mine.join(prior, ["ticker", "rank", "item", "shingle"]).groupBy("chunk_id", "filing_accession", "n", "p_ordinal", "p_n").agg(F.count(F.lit(1)).alias("c"))
-    scored = common.withColumn("sim", F.col("c") / (F.col("n") + F.col("p_n") - F.col("c")))
-    best = scored.groupBy("chunk_id", "filing_accession").agg(
-        F.coalesce(F.min(F.when(F.col("sim") >= threshold, F.struct("p_ordinal", "sim")))["sim"], F.max("sim")).alias("sim")
-    )
-    joined = carried.join(best, ["chunk_id", "filing_accession"], "left")
+    best = closest(base.select("ticker", "rank", "item", "doc", "ordinal", "text"), threshold=threshold)
+    joined = carried.join(best, ["ticker", "rank", "item", "doc"], "left")
     value = F.when(F.col("seen"), 1.0).otherwise(F.coalesce("sim", F.lit(0.0)))
     out = joined.withColumn("value", value)
     names = [c for c in chunks.columns if c not in ("is_new_language", "similarity_to_prior")]
