@@ -208,3 +208,38 @@ def test_config_files(tmp_path):
     assert s.tickers == ["X"] and s.first_covered_year("X") == 2021 and s.forms == ("10-K",) and t.ids == ["k"] and t.version == "2"
     with pytest.raises(KeyError):
         t.get("nope")
+
+
+def test_bootstrap_is_that_of_its_draws(spark, monkeypatch):
+    """Bounds by brute force over pieces of rounds; no draw is a row of a join or a shuffle."""
+    import hashlib
+
+    labels = [[t for t, m in (("a", 2), ("b", 3), ("c", 7)) if i % m == 0] for i in range(47)]
+    pred = [labels[(i * 5 + 1) % 47] if i % 4 else labels[i] for i in range(47)]
+    rows = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(zip(labels, pred, strict=True))], "id int, gold array<string>, pred array<string>").repartition(3)
+    themes, scores = ["a", "b", "c", "unused"], {}
+    for r in range(60):
+        drawn = [int(hashlib.md5(f"5|{r}|{d}".encode()).hexdigest()[:8], 16) % 47 for d in range(47)]
+        each = {t: [sum(w(t in labels[i], t in pred[i]) for i in drawn) for w in (lambda g, p: g and p, lambda g, p: p and not g, lambda g, p: g and not p)] for t in themes}
+        each[None] = [sum(x[k] for x in each.values()) for k in range(3)]
+        for t, (tp, fp, fn) in each.items():
+            p, c = (tp / (tp + fp) if tp + fp else 0.0), (tp / (tp + fn) if tp + fn else 0.0)
+            scores.setdefault(t, []).append(2 * p * c / (p + c) if p + c else 0.0)
+    right = [(t, sorted(s)[1], sorted(s)[58]) for t, s in scores.items()]
+    for piece in (1 << 20, 10):
+        monkeypatch.setattr(ev, "PIECE", piece)
+        out = ev.bootstrap(rows, themes, rounds=60, seed=5)
+        assert [tuple(r) for r in out.collect()] == right
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1  # with the names of the themes
+
+
+def test_draws_are_md5():
+    import hashlib
+
+    import numpy as np
+
+    from tidewright.functions.draws import md5_numbers
+
+    for prefix in (b"", b"17|3|", b"17|12|", b"17|123|", b"-4|999999|", b"x" * 49, b"y" * 60):
+        for lo, hi in ((0, 1203), (9995, 10011), (99990, 100003), (1234567, 1234599)):
+            assert np.concatenate(list(md5_numbers(prefix, lo, hi))).tolist() == [int(hashlib.md5(prefix + str(d).encode()).hexdigest()[:8], 16) for d in range(lo, hi)]

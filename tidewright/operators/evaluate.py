@@ -5,9 +5,15 @@ Frames hold one row an example with ``id``, ``gold`` and ``pred`` (arrays of lab
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import md5_numbers
+
 
 def ratio(a, b) -> Column:
     """a / b, 0 where b is 0 (ANSI division would fail)."""
@@ -56,27 +62,66 @@ def summary(rows: DataFrame, themes: list[str]) -> DataFrame:
     return total.select(F.col("f1").alias("micro_f1"), F.coalesce("macro_f1", F.lit(0.0)).alias("macro_f1")).crossJoin(whole)
 
 
+#: Draws of a bootstrap that are one piece of work.
+PIECE = 1 << 20
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Arrays of bytes to one value a batch, in order."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).flatten().to_numpy().astype(np.uint8).tobytes()], pa.binary())], names=["o"])
+
+
+def _codes(packed: bytes, themes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different outcomes (a byte a theme) as rows of 0 and 1 for tp, fp and fn of each theme, and which one each example has."""
+    each = np.frombuffer(packed, np.dtype((np.void, themes)))
+    kinds, code = np.unique(each, return_inverse=True)
+    values = kinds.view(np.uint8).reshape(len(kinds), themes)
+    hits = (values[:, :, None] == np.array([1, 2, 3], np.uint8)).astype(np.int64).reshape(len(kinds), themes * 3)
+    return hits, code.astype(np.min_scalar_type(len(kinds)))
+
+
+def _tallied(shared, pieces: int, seed: int) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """round, t, tp, fp, fn of pieces of rounds, the sum of all themes last; piece p of round r has the number r * pieces + p."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        code, hits = shared.value
+        n, themes = len(code), hits.shape[1] // 3
+        for b in batches:
+            for unit in b.column(0).to_pylist():
+                r, p = divmod(unit, pieces)
+                drawn = np.zeros(len(hits), np.int64)
+                for x in md5_numbers(f"{seed}|{r}|".encode(), p * PIECE, min(n, (p + 1) * PIECE)):
+                    drawn += np.bincount(code[x % np.uint32(n) if n < 1 << 32 else x], minlength=len(hits))
+                tally = (drawn @ hits).reshape(themes, 3)
+                tally = np.vstack([tally, tally.sum(0)])
+                columns = [np.full(themes + 1, r, np.int64), np.arange(themes + 1, dtype=np.int32), tally[:, 0], tally[:, 1], tally[:, 2]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["round", "t", "tp", "fp", "fn"])
+
+    return run
+
+
 def bootstrap(rows: DataFrame, themes: list[str], *, rounds: int = 1000, seed: int = 17, alpha: float = 0.05) -> DataFrame:
     """theme (null: micro), f1_low, f1_high: order statistics of resampled scores, without
-    interpolation. Draw d of round r takes row md5(seed|r|d) mod n, the same for all
-    themes. Outcomes are four bits a theme packed in one array, so a draw is one join row.
-    For gold sets, whose rows are numbered in one task; no rounds or rows give zeros."""
+    interpolation. Draw d of round r takes row md5(seed|r|d) mod n of the rows in the order of their ids, the same for all
+    themes. Rows are sorted in parallel; their outcomes go to every task, a number of one, two or four bytes a row by how many
+    different ones there are. Draws are made and tallied in arrays, so nothing but the tallies of a round is shuffled; no rounds or rows give zeros."""
     spark = rows.sparkSession
     names = [*themes, None]
-    indexed = rows.select(
-        (F.row_number().over(Window.orderBy("id")) - 1).alias("i"),
-        F.array(*[F.when(F.array_contains("gold", t), F.when(F.array_contains("pred", t), 1).otherwise(3)).when(F.array_contains("pred", t), 2).otherwise(0) for t in themes]).alias("o"),
-    ).persist()
-    n = indexed.count()
-    if not n or rounds <= 0:
+    outcome = F.array(*[F.when(F.array_contains("gold", t), F.when(F.array_contains("pred", t), 1).otherwise(3)).when(F.array_contains("pred", t), 2).otherwise(0).cast("tinyint") for t in themes])
+    sorted_rows = rows.select("id", outcome.alias("o")).orderBy("id").select("o") if themes and rounds > 0 else None
+    packed = b"".join(r["o"] for r in sorted_rows.mapInArrow(_packed, "o binary").collect()) if sorted_rows is not None else b""
+    if not packed:
         return spark.createDataFrame([(t, 0.0, 0.0) for t in names], "theme string, f1_low double, f1_high double")
-    draws = spark.range(rounds * n).select((F.col("id") / n).cast("long").alias("round"), (F.col("id") % n).alias("draw"))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = draws.select("round", (key % n).cast("int").alias("i")).groupBy("round", "i").agg(F.count(F.lit(1)).alias("m"))
-    tallied = drawn.join(indexed, "i").select("round", "m", F.posexplode("o").alias("t", "o"))
-    per = tallied.groupBy("round", "t").agg(*[F.sum(F.when(F.col("o") == k, F.col("m")).otherwise(0)).alias(c) for k, c in ((1, "tp"), (2, "fp"), (3, "fn"))])
-    micro = per.groupBy("round").agg(F.lit(len(themes)).alias("t"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    scored = with_prf(per.unionByName(micro.select("round", "t", "tp", "fp", "fn")))
+    hits, code = _codes(packed, len(themes))
+    n, shared = len(code), spark.sparkContext.broadcast((code, hits))
+    pieces = -(-n // PIECE)
+    units = rounds * pieces
+    tasks = min(units, max(rounds * n // PIECE, 2 * spark.sparkContext.defaultParallelism))
+    tallies = spark.range(0, units, 1, tasks).mapInArrow(_tallied(shared, pieces, seed), "round long, t int, tp long, fp long, fn long")
+    per = tallies.groupBy("round", "t").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    scored = with_prf(per)
     ranked = scored.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("f1", "round")) - 1)
     low, high = int(alpha / 2 * rounds), min(rounds - 1, int((1 - alpha / 2) * rounds))
     bounds = ranked.groupBy("t").agg(F.max(F.when(F.col("k") == low, F.col("f1"))).alias("f1_low"), F.max(F.when(F.col("k") == high, F.col("f1"))).alias("f1_high"))

@@ -168,12 +168,11 @@ def cagr_join(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     """Labels as gold, a rule on the text as prediction."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    j = _table(spark, sf_dir, "labels").join(d, "doc_id")
     pick = lambda *pairs: F.array_compact(F.array(*[F.when(c, F.lit(v)) for c, v in pairs]))
     gold = pick((F.col("quality") == 0, "poor"), (F.col("toxic") == 1, "toxic"))
     pred = pick((F.col("text").contains("|") | F.col("text").contains("!!"), "poor"), (F.col("text").contains("trash") | F.col("text").contains("scum"), "toxic"), (F.length("text") > 6000, "long"))
-    return j.select(F.col("doc_id").alias("id"), gold.alias("gold"), pred.alias("pred"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", pred.alias("pred"))  # before the join, which then shuffles no text
+    return _table(spark, sf_dir, "labels").join(d, "doc_id").select(F.col("doc_id").alias("id"), gold.alias("gold"), "pred")
 
 
 SCORED_THEMES = ["poor", "toxic", "long"]
